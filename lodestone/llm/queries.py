@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html_text, packing, quality_crf, sentencepieces, token_counts, warc
+from lodestone.llm import embedding_dedup, html_text, ngram_join, packing, quality_crf, sentencepieces, token_counts, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op1_sentencepiece(spark, sf_dir):
     )
 
 
+@query
+def op2_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -45,6 +50,19 @@ def op5_html(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+@query
+def op6_ngram_join(spark, sf_dir):
+    """One row for each document: its class (the least id reachable by links) and its number of links."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).withColumnRenamed("component_id", "class_id")
+
+
+@query
+def op7_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where(topk_search.finite("embedding"))
+    rows = rows.select("vec_id", topk_search.integers("embedding", 64.0).alias("vector"))
+    return topk_search.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 @query
 def op8_packing(spark, sf_dir):
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -63,3 +81,29 @@ def op9_quality(spark, sf_dir):
 @query
 def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+ORACLES["op7_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+ORACLES["op2_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, row_number() OVER () AS n FROM embeddings
+), g AS (
+  SELECT * FROM v WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_inner_product(x, x) > 0
+), l AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM g a JOIN g b ON a.n <> b.n AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), reach(node, least) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT l.w, reach.least FROM reach JOIN l ON l.u = reach.node WHERE reach.least < l.w
+), c AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
+SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.u = v.vec_id) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id"""
