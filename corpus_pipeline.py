@@ -1,6 +1,53 @@
-STAGES = []
+"""From raw documents to packed token sequences: four stages, each written and read again.
+
+quality        documents that the line classifier rejects go
+near_copies    of each group of near-duplicate documents the one of least id stays
+repeats        passages that stand earlier in the corpus are cut out of the texts
+packing        texts become token windows; the result is one row for each piece
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
+of documents. A document that loses its whole text in `repeats` stays as an empty one. Cuts
+leave whole characters.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import ngram_join, packing, quality_crf, suffix_dedup
+from lodestone.llm.common import stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    field = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.keep_good(docs, field)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = ngram_join.ngram_join(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(docs, as_text=True).select("doc_id", F.col("kept").alias("text"))
+    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
+    return cut.join(rest, "doc_id").withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("packing", pack)]
+
+#: No SQL expresses the trained classifier, MinHash or the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

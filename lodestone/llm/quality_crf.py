@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,5 +244,19 @@ def score(df: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str
     return map_arrow(documents(df, id_col, text_col), run, "doc_id long, score double")
 
 
+def keep_good(df: DataFrame, field: LineField, least: float = GOOD_FROM, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is at least `least`."""
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                texts = ["" if t is None else t for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(field.score(texts) >= least))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def crc_text(n: int) -> int:
     return zlib.crc32(str(n).encode())

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embedding_dedup, html_text, ngram_join, packing, quality_crf, sentencepieces, token_counts, topk_search, warc
+from lodestone.llm import embedding_dedup, html_text, ngram_join, packing, quality_crf, sentencepieces, suffix_dedup, token_counts, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,18 @@ def op2_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op4_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
