@@ -375,8 +375,10 @@ def _anchors(units: DataFrame, parts: int, length: int, split_from: int) -> Data
 
 def _by_unit(unit: np.ndarray, kind: int, fn) -> list[tuple]:
     """A row for each unit with what fn gives for the places of its rows."""
+    if not len(unit):
+        return []
     order = np.argsort(unit, kind="stable")
-    g = groups(unit[order]) if len(order) else np.zeros(0, np.int64)
+    g = groups(unit[order])
     ends = np.append(g[1:], len(order)).astype(np.int64)
     return [(0, int(unit[order[a]]), kind, fn(order[a:b])) for a, b in zip(g.tolist(), ends.tolist(), strict=True)]
 
