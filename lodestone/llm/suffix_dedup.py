@@ -41,6 +41,8 @@ from lodestone.llm.common import documents, map_arrow, stage
 
 #: Length of the strings, of the anchor word inside, and bytes of a unit.
 LENGTH, WORD, UNIT_BYTES = 100, 32, 4 << 20
+#: Bytes whose suffixes are sorted at once; a task sorts its anchors in so many parts.
+SORTED_BYTES = 1 << 20
 #: Different segments of an anchor in one unit from which on it is split into strings.
 SPLIT_FROM = 16
 _CHUNK = 1 << 20
@@ -196,8 +198,8 @@ def cover(at: np.ndarray, length: np.ndarray) -> bytes:
 
 
 def dense_rank(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
-    key = a if b is None else a << _u(32) | b
-    return np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    key = a if b is None else a.astype(np.uint64) << _u(32) | b
+    return np.unique(key, return_inverse=True)[1].astype(np.uint32)
 
 
 class SuffixArray:
@@ -215,6 +217,7 @@ class SuffixArray:
         x = x[:-2] << _u(16) | x[2:]
         x = x[:-4] << _u(32) | x[4:]
         ranks = {8: dense_rank(x)}
+        del x
         for w in (8, 16, 32):
             r = ranks[w]
             ranks[2 * w] = dense_rank(r[:-w], r[w:])
@@ -443,17 +446,19 @@ def _fetch(asked: DataFrame, parts: int, length: int) -> DataFrame:
                     at = at[order[new]]
                     lo = np.concatenate([lo[~s], at])
                     run_ = np.concatenate([run_[~s], np.zeros(len(at), np.int64)])
-                    dest = np.concatenate([anchor[~s] % np.uint64(parts), h[order[new]] % np.uint64(parts)]).astype(np.int64)
+                    key = np.concatenate([anchor[~s], h[order[new]]])
                 else:
-                    dest = (anchor % np.uint64(parts)).astype(np.int64)
+                    key = anchor
+                dest = (key % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(dest, kind="stable")
                 lo, run_, dest = lo[by], run_[by], dest[by]
+                part_of = (key[by] // np.uint64(parts)).astype(np.uint16)
                 doc = unit.doc_of(lo)
                 cuts = np.searchsorted(dest, np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cuts)).tolist():
                     k = slice(cuts[p], cuts[p + 1])
                     raw = b"".join(unit.data[a : a + r + length] for a, r in zip(lo[k].tolist(), run_[k].tolist(), strict=True))
-                    head = pack_arrays(doc[k], lo[k].astype(np.uint32), run_[k].astype(np.uint8))
+                    head = pack_arrays(doc[k], lo[k].astype(np.uint32), run_[k].astype(np.uint8), part_of[k])
                     out.append((p, unit_id, BYTES, struct.pack("<I", len(head)) + head + _squeeze(raw)))
                 for k in range(0, len(out), 128):
                     yield _rows(out[k : k + 128])
@@ -492,7 +497,7 @@ def _suffix_stage(moved: DataFrame, length: int) -> DataFrame:
             for dest, unit, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == BYTES:
                     n = struct.unpack("<I", blob[:4])[0]
-                    a = unpack_arrays(blob[4 : 4 + n], "i8", "u4", "u1")
+                    a = unpack_arrays(blob[4 : 4 + n], "i8", "u4", "u1", "u2")
                     held.append([*a, np.full(len(a[0]), unit)])
                     texts.append(zstandard.ZstdDecompressor().decompress(blob[4 + n :]))
                 else:
@@ -501,19 +506,23 @@ def _suffix_stage(moved: DataFrame, length: int) -> DataFrame:
                 yield _rows(through[k : k + 256])
         if not held:
             return
-        doc, lo, run_, unit = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc, lo, run_, part, unit = (np.concatenate(x) for x in zip(*held, strict=True))
         lo, run_ = lo.astype(np.int64), run_.astype(np.int64)
         data = b"".join(texts)
         held.clear()
         texts.clear()
-        place = np.empty(len(doc), np.int64)
-        place[np.lexsort((lo, unit, doc))] = np.arange(len(doc)) * 1024  # room for the offsets of an item
-        # two segments of a document may overlap: of the same unit, positions decide
-        item, offset, size = covered_by_earlier(data, run_ + length, run_, place, length)
-        at = lo[item] + offset
-        out = _by_unit(unit[item], COVER, lambda k: cover(at[k], size[k]))
-        for k in range(0, len(out), 256):
-            yield _rows(out[k : k + 256])
+        ends = np.cumsum(run_ + length)
+        part = part.astype(np.int64) % (len(data) // SORTED_BYTES + 1)
+        for chosen in np.split(order := np.argsort(part, kind="stable"), np.flatnonzero(np.diff(part[order])) + 1):
+            some = b"".join(data[a:b] for a, b in zip((ends - run_ - length)[chosen].tolist(), ends[chosen].tolist(), strict=True))
+            place = np.empty(len(chosen), np.int64)
+            place[np.lexsort((lo[chosen], unit[chosen], doc[chosen]))] = np.arange(len(chosen)) * 1024  # room for an item's offsets
+            item, offset, size = covered_by_earlier(some, run_[chosen] + length, run_[chosen], place, length)
+            item = chosen[item]
+            at = lo[item] + offset
+            out = _by_unit(unit[item], COVER, lambda k, at=at, size=size: cover(at[k], size[k]))
+            for k in range(0, len(out), 256):
+                yield _rows(out[k : k + 256])
 
     return map_arrow(moved, run, _MOVED)
 
