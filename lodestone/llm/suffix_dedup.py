@@ -222,16 +222,10 @@ class SuffixArray:
             r = ranks[w]
             ranks[2 * w] = dense_rank(r[:-w], r[w:])
         r = ranks[64]
-        if least < 64:
-            key = starts * 0 if least < 8 else ranks[8][starts]
-            for w in (16, 32):
-                key = ranks[w][starts] if w <= least else key
-            top = max(w for w in (8, 16, 32) if w <= least)
-            key = dense_rank(ranks[top][starts], ranks[top][starts + least - top])
-        elif least <= 128:
-            key = dense_rank(r[starts], r[starts + least - 64])
-        else:
+        if not 8 <= least <= 128:
             raise ValueError("strings of 8 to 128 bytes")
+        top = max(w for w in ranks if w <= least)
+        key = dense_rank(ranks[top][starts], ranks[top][starts + least - top])
         often = np.bincount(key.astype(np.int64))[key.astype(np.int64)] > 1 if len(key) else np.zeros(0, bool)
         pos, item = starts[often], item[often]
         order = np.lexsort((r[pos + 128], r[pos + 64], r[pos]))
@@ -239,14 +233,10 @@ class SuffixArray:
         left = (start + size)[self.items] - self.suffixes
         a, b = self.suffixes[:-1].copy(), self.suffixes[1:].copy()
         n = np.zeros(len(a), np.int64)
-        alive = np.ones(len(a), bool)
         for w in (64, 64, 32, 16, 8):
-            same = alive & (ranks[w][a + n] == ranks[w][b + n])
-            n[same] += w
-            if w == 64:
-                alive &= same | (n > 0)
+            n[ranks[w][a + n] == ranks[w][b + n]] += w
         for _ in range(7):
-            n += (raw[a + n] == raw[b + n]) & alive
+            n += raw[a + n] == raw[b + n]
         self.common = np.concatenate(([0], np.minimum(n, np.minimum(left[:-1], left[1:]))))[: len(pos)]
         at_start = self.suffixes == start[self.items]
         self.before = np.where(at_start, -1, raw[np.maximum(self.suffixes - 1, 0)].astype(np.int64))
