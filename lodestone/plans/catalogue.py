@@ -374,8 +374,8 @@ _POINTS = "(SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS a, p_retailprice A
 _NEAREST = "SELECT p.id, p.a, p.b, c.k, pow(p.a - c.a, 2) + pow(p.b - c.b, 2) AS d FROM {points} p, {centres} c QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY d, c.k) = 1"
 _C0 = "(VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(_START)) + ")"
 _ROUNDS = f"""WITH c0(k, a, b) AS {_C0},
-c1 AS (SELECT k, avg(a) AS a, avg(b) AS b FROM ({_NEAREST.format(points=_POINTS, centres='c0')}) GROUP BY k),
-c2 AS (SELECT k, avg(a) AS a, avg(b) AS b FROM ({_NEAREST.format(points=_POINTS, centres='c1')}) GROUP BY k),
+c1 AS (SELECT c0.k, coalesce(avg(n.a), any_value(c0.a)) AS a, coalesce(avg(n.b), any_value(c0.b)) AS b FROM c0 LEFT JOIN ({_NEAREST.format(points=_POINTS, centres='c0')}) n ON n.k = c0.k GROUP BY c0.k),
+c2 AS (SELECT c1.k, coalesce(avg(n.a), any_value(c1.a)) AS a, coalesce(avg(n.b), any_value(c1.b)) AS b FROM c1 LEFT JOIN ({_NEAREST.format(points=_POINTS, centres='c1')}) n ON n.k = c1.k GROUP BY c1.k),
 l AS ({_NEAREST.format(points=_POINTS, centres='c2')}) """
 
 
