@@ -1,37 +1,15 @@
-"""What the corpus operators share: staged tables, Arrow maps, connected components."""
+"""What the corpus operators share: Arrow maps and plain documents, beside staged tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can reach.
-
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (a single
-    machine, as in tests) a folder of this machine is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    It cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from lodestone.operators.components import connected_components  # noqa: F401
+from lodestone.sources.staging import shared_dir, stage  # noqa: F401
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -54,34 +32,3 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that count, as (doc_id, text); a null text is empty."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-
-
-def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, component) for every end of the undirected edges (u, v); component is the smallest node reached.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014): each joins edges with
-    the least neighbour of their end, so that no step holds a node's neighbours in one task.
-    The least neighbours are pre-aggregated before they are shuffled.
-    """
-    links = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    seen = mark(links)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        links = stage(small, name)
-        now = mark(links)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
