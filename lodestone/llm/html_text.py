@@ -48,9 +48,11 @@ BLOCKS = frozenset(
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|login|masthead|"
     r"menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
-    r"sidebar|signup|site-header|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+    r"sidebar|signup|site-header|skip|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:header|page-header|topbar|alert|copyright|disclaimer|rail)(?:$|\s)",
     re.I,
 )
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*>|</?([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][^\s>/]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -159,7 +161,8 @@ def blocks(page: str) -> list[Block]:
 
 
 def _marked(attributes: str) -> bool:
-    return bool(attributes) and any(MARKS.search(a or b or c) for a, b, c in _NAMED.findall(attributes))
+    """Whether attributes name furniture or hide the element."""
+    return bool(attributes) and (any(MARKS.search(a or b or c) for a, b, c in _NAMED.findall(attributes)) or bool(_UNSEEN.search(attributes)))
 
 
 def decide(found: list[Block], rules: Rules) -> None:

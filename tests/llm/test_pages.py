@@ -70,6 +70,7 @@ ARTICLE = "The house on the hill was old and the people of the town had been afr
         (f"<p>{ARTICLE}</p><!-- never closed {ARTICLE}", ARTICLE),
         (f"<ul><li><a href=/a>One link</a><li><a href=/b>Another link to a page</a></ul><p>{ARTICLE}</p>", ARTICLE),
         (f"<main><p>{ARTICLE} 1 < 2</p></main></div></nav>", f"{ARTICLE} 1 < 2"),
+        (f"<div class=header>{ARTICLE}</div><div style='display: none'>{ARTICLE}</div><article><div class=entry-header>T</div><p>{ARTICLE}</p></article>", f"T\n{ARTICLE}"),
         (f"<article><p>Tiny.</p></article><aside>{ARTICLE}</aside>", "Tiny."),
     ],
 )
