@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each joins edges with
     the least neighbour of their end, so that no step holds a node's neighbours in one task.
-    The least neighbours are pre-aggregated before they are shuffled."""
+    The least neighbours are pre-aggregated before they are shuffled, and staged: both sides of a
+    join are then plain shuffles, of which the adaptive planner splits the partition of a hub."""
     links = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
 
     def mark(e: DataFrame) -> tuple:
@@ -24,9 +25,10 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         if not seen[0]:
             break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large, name)
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         links = stage(small, name)
         now = mark(links)
