@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +30,16 @@ from pyspark.sql import DataFrame
 from lodestone.llm.common import documents, map_arrow
 
 #: Distinct words a worker remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+_MARKS = string.punctuation
 #: White space for str.split, but not for the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
 class WordIds:
-    """Token ids of texts. The tokenizer never joins characters across white space, so each
-    chunk between white space is encoded once by the library and remembered."""
+    """Token ids of texts. The tokenizer never joins characters across white space, nor letters with
+    the marks behind them, and has no capitals: each chunk between white space is cut into a word
+    and its marks, which are encoded once by the library and remembered."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,7 +51,26 @@ class WordIds:
         self.remembered = remembered
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        seen, parts, whole = self.seen, [], set()
+        for chunk in chunks:
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha():
+                marks = chunk[len(word) :]
+                word = word.lower() if word.isascii() else word
+                parts.append((chunk, word, marks))
+                whole.add(word)
+                if marks:
+                    whole.add(marks)
+            else:
+                whole.add(chunk)
+        new = [w for w in whole if w not in seen]
+        for at in range(0, len(new), 10_000):
+            seen.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
+        for chunk, word, marks in parts:
+            seen[chunk] = seen[word] + seen[marks] if marks else seen[word]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -59,9 +82,7 @@ class WordIds:
         if len(self.seen) + len(new) > self.remembered:
             self.seen.clear()
             new = set().union(*split)
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            self.seen.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
+        self._learn(new)
         out = [b"".join(map(self.seen.__getitem__, w)) for w in split]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
