@@ -119,3 +119,19 @@ WITH RECURSIVE v AS (
 ), c AS (SELECT node, min(least) AS component_id FROM reach GROUP BY node)
 SELECT v.vec_id, CAST((SELECT count(*) FROM l WHERE l.u = v.vec_id) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.node = v.vec_id"""
+
+ORACLES["op6_ngram_join"] = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10ffff}]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS s FROM w
+), g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n
+  FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9
+), l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p
+), reach(node, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, reach.least FROM reach JOIN l ON l.u = reach.node WHERE reach.least < l.v
+), c AS (SELECT node, min(least) AS class_id FROM reach GROUP BY node
+), k AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, c.class_id, d.doc_id = c.class_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN k ON k.u = d.doc_id"""
