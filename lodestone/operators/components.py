@@ -17,12 +17,13 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     join are then plain shuffles, of which the adaptive planner splits the partition of a hub."""
     links = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Every edge leads from a node to its component: one edge a node, and no component has one."""
+        n, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
+        return n == nodes and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
-    seen = mark(links)
     for _ in range(rounds):
-        if not seen[0]:
+        if settled(links):
             break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
@@ -31,10 +32,6 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
         least = stage(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         links = stage(small, name)
-        now = mark(links)
-        if now == seen:
-            break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
