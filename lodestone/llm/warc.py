@@ -279,7 +279,9 @@ def read_back(requests: DataFrame, index: CaptureIndex) -> DataFrame:
             yield {"url_key": [url_key(u or "") for u in b.column(0).to_pylist()], "page_id": b.column(1)}
 
     keyed = map_arrow(requests.select("url", F.col("page_id").cast("long")), keys, "url_key string, page_id long")
-    asked = keyed.distinct().repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    # a fixed number of ranges: keys are short, but the records behind them are not
+    ranges = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = keyed.distinct().repartitionByRange(ranges, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
 
     def run(batches):
         reader = IndexReader(index)
