@@ -127,7 +127,7 @@ METHODS = {
     "weibull": 6, "linear": 7, "median_unbiased": 8, "normal_unbiased": 9,
 }
 #: Buckets that the values are dealt into before they are sorted.
-BUCKETS = 200
+BUCKETS, STEP = 200, 14
 
 
 def _places(n: F.Column, q: F.Column, kind: F.Column) -> tuple[F.Column, F.Column, F.Column]:
@@ -168,7 +168,11 @@ def quantile(df: DataFrame, columns: list[str], q: float | list[float], method:
     long = df.select(*group_by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), strict(c, allow_null).alias("x")) for c in columns))).alias("e"))
     merged = stage(long.select(*group_by, "e.*").where("x IS NOT NULL").groupBy(*key, "x").agg(F.count("*").alias("n")), "values")
     cuts = merged.groupBy(*key).agg(F.percentile_approx("x", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"), F.sum("n").alias("size"))
-    dealt = merged.join(cuts, key).withColumn("bucket", F.size(F.filter("cuts", lambda b: b < F.col("x")))).drop("cuts")
+    # the cuts below x, counted first among every STEP-th of them and then among the next STEP
+    coarse = F.transform(F.sequence(F.lit(STEP), F.lit(BUCKETS - 1), F.lit(STEP)), lambda i: F.element_at("cuts", i))
+    below = lambda a: F.size(F.filter(a, lambda b: b < F.col("x")))
+    dealt = merged.join(cuts.withColumn("coarse", coarse), key).withColumn("k", below("coarse") * STEP)
+    dealt = dealt.withColumn("bucket", F.col("k") + below(F.slice("cuts", F.col("k") + 1, F.lit(STEP)))).drop("cuts", "coarse", "k")
     sizes = dealt.groupBy(*key, "bucket").agg(F.sum("n").alias("inside"), F.first("size").alias("size"))
     before = F.coalesce(F.sum("inside").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.withColumn("before", before)  # at most BUCKETS rows of a column
