@@ -54,7 +54,7 @@ def op3_suffix_dedup(spark, sf_dir):
 def op4_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     index = warc.archive(pages)
-    return warc.read_back(pages, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_back(pages, index, all_held=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

@@ -3,10 +3,10 @@
 Writing: each task streams its pages into archives of one gzip member a record. Of records with
 equal payloads the one of the largest page_id is the response; the others are revisits of it.
 
-Index: the captures' keys (reversed host, then path) are sorted into range shards. A shard file
-is a run of compressed blocks followed by a sparse directory with the first key of each block.
-A look-up searches the list of shards, then the shard's directory, then one block, and reads the
-record's byte range from its archive.
+Index: the captures are sorted by key (reversed host, then path) and page_id into range shards. A
+shard file is a run of compressed blocks followed by a sparse directory with the first key and
+page_id of each block. A look-up searches the list of shards, then the shard's directory, then one
+block, and reads the record's byte range from its archive. One key may fill many shards.
 
 Archives, shards and the shard list lie in a folder that all executors reach. File names are
 unique to a task attempt and only names that a finished task returned are used, so lost or
@@ -14,7 +14,8 @@ repeated tasks do no harm (what they left is not listed).
 
 Defined cases: null html is an empty payload; a null url is empty; line ends in a url are
 percent-encoded; rows with the same page_id and url are separate captures, read back as often as
-they were written; an empty table gives no archives; extra columns are ignored.
+they were written; an empty table gives no archives; extra columns are ignored; a page that
+the index does not hold has no record, and is an error where all are said to be held.
 """
 
 from __future__ import annotations
@@ -148,10 +149,10 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
 
 @dataclass
 class CaptureIndex:
-    """The shard list: (first key, last key, file) of each shard, one for each range partition."""
+    """The shard list: first and last (key, page_id) and file of each shard, one for each range partition."""
 
     folder: str
-    shards: list[tuple[str, str, str]]
+    shards: list[tuple[tuple[str, int], tuple[str, int], str]]
 
 
 def build_index(captures: DataFrame, folder: str, block_rows: int = BLOCK_ROWS) -> CaptureIndex:
@@ -161,14 +162,14 @@ def build_index(captures: DataFrame, folder: str, block_rows: int = BLOCK_ROWS)
     def run(batches):
         store, root = file_system(folder)
         name = f"{uuid.uuid4().hex}.cdx"
-        out, directory, block, at, last = None, [], [], 0, ""
+        out, directory, block, at, last = None, [], [], 0, None
 
         def flush():
             nonlocal at, last
             packed = zlib.compress("\n".join(json.dumps(r, ensure_ascii=False) for r in block).encode("utf-8", "surrogatepass"), 6)
             out.write(packed)
-            directory.append((block[0][0], at, len(packed)))
-            at, last = at + len(packed), block[-1][0]
+            directory.append((*block[0][:2], at, len(packed)))
+            at, last = at + len(packed), block[-1][:2]
             block.clear()
 
         for batch in batches:
@@ -185,10 +186,10 @@ def build_index(captures: DataFrame, folder: str, block_rows: int = BLOCK_ROWS)
             packed = zlib.compress(json.dumps(directory).encode(), 6)
             out.write(packed + struct.pack("<Q", len(packed)))
             out.close()
-            yield {"first": [directory[0][0]], "last": [last], "file": [name]}
+            yield {"first": [directory[0][0]], "first_id": [directory[0][1]], "last": [last[0]], "last_id": [last[1]], "file": [name]}
 
-    shards = map_arrow(ordered, run, "first string, last string, file string").collect()
-    return CaptureIndex(folder, sorted((r.first, r.last, r.file) for r in shards))
+    shards = map_arrow(ordered, run, "first string, first_id long, last string, last_id long, file string").collect()
+    return CaptureIndex(folder, sorted(((r.first, r.first_id), (r.last, r.last_id), r.file) for r in shards))
 
 
 class IndexReader:
@@ -217,7 +218,7 @@ class IndexReader:
             end = f.size()
             n = struct.unpack("<Q", f.read_at(8, end - 8))[0]
             found = json.loads(zlib.decompress(f.read_at(n, end - 8 - n)))
-            self.directories[name] = ([d[0] for d in found], found)
+            self.directories[name] = ([tuple(d[:2]) for d in found], [d[2:] for d in found])
         return self.directories[name]
 
     def rows(self, name: str, at: int, length: int) -> list:
@@ -228,50 +229,38 @@ class IndexReader:
 
     def captures(self, key: str):
         """All captures of a key: (url_key, page_id, file, offset, length)."""
-        shards = self.index.shards
-        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while k < len(shards) and shards[k][0] <= key:
-            if shards[k][1] >= key:
-                firsts, directory = self.directory(shards[k][2])
-                j = max(0, bisect.bisect_left(firsts, key) - 1)
-                while j < len(directory) and directory[j][0] <= key:
-                    rows = self.rows(shards[k][2], *directory[j][1:])
-                    i = bisect.bisect_left(rows, key, key=lambda r: r[0])
-                    while i < len(rows) and rows[i][0] == key:
-                        yield rows[i]
-                        i += 1
-                    j += 1
-            k += 1
+        return self.search(key, lambda r: r[0])
 
     def capture(self, key: str, page_id: int) -> list:
         """The captures of one page: shards, blocks and rows are searched by (key, page_id)."""
-        shards, want, out = self.index.shards, (key, page_id), []
-        k = max(0, bisect.bisect_left(self.firsts, key) - 1)
-        while k < len(shards) and shards[k][0] <= key:
-            if shards[k][1] >= key:
+        return list(self.search((key, page_id), lambda r: (r[0], r[1])))
+
+    def search(self, want, part):
+        """The rows whose part (of key and page_id, in that order) is wanted; nothing wanted stands before the
+        last shard or block that starts below it, nor from the first one on that starts above it."""
+        shards = self.index.shards
+        k = max(0, bisect.bisect_left(self.firsts, want, key=part) - 1)
+        while k < len(shards) and part(self.firsts[k]) <= want:
+            if part(shards[k][1]) >= want:
                 firsts, directory = self.directory(shards[k][2])
-                j = max(0, bisect.bisect_left(firsts, key) - 1)
-                while j < len(directory) and directory[j][0] <= key:
-                    nxt = directory[j + 1][0] if j + 1 < len(directory) else None
-                    if nxt != key or tuple(self.rows(shards[k][2], *directory[j][1:])[-1][:2]) >= want:
-                        rows = self.rows(shards[k][2], *directory[j][1:])
-                        i = bisect.bisect_left(rows, want, key=lambda r: (r[0], r[1]))
-                        while i < len(rows) and (rows[i][0], rows[i][1]) == want:
-                            out.append(rows[i])
-                            i += 1
-                        if i < len(rows):
-                            return out
+                j = max(0, bisect.bisect_left(firsts, want, key=part) - 1)
+                while j < len(firsts) and part(firsts[j]) <= want:
+                    rows = self.rows(shards[k][2], *directory[j])
+                    i = bisect.bisect_left(rows, want, key=part)
+                    while i < len(rows) and part(rows[i]) == want:
+                        yield rows[i]
+                        i += 1
                     j += 1
             k += 1
-        return out
 
     def record(self, file: str, offset: int, length: int) -> dict:
         return parse(gzip.decompress(self.open(file).read_at(length, offset)))
 
 
-def read_back(requests: DataFrame, index: CaptureIndex) -> DataFrame:
+def read_back(requests: DataFrame, index: CaptureIndex, all_held: bool = False) -> DataFrame:
     """The records of all requested (url, page_id): what their archives hold, found through the index.
 
+    With all_held, a requested page without a record is an error.
     Requests are sorted by key, so that a task searches few shards and decompresses a block once."""
 
     def keys(batches):
@@ -290,7 +279,10 @@ def read_back(requests: DataFrame, index: CaptureIndex) -> DataFrame:
                 part = batch.slice(lo, 1024)
                 found = []
                 for key, page_id in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found += [r[2:5] for r in reader.capture(key, page_id)]
+                    held = reader.capture(key, page_id)
+                    if all_held and not held:
+                        raise ValueError(f"the index does not hold page {page_id} of {key!r}")
+                    found += [r[2:5] for r in held]
                 rows = []
                 for file, offset, length in sorted(found):
                     r = reader.record(file, offset, length)

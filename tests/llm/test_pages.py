@@ -42,6 +42,30 @@ def test_index_finds_all_captures_of_a_url(spark, tmp_path):
     assert found["payload"] == b"v17" and found["warc-target-uri"] == "http://x.example/same"
 
 
+def test_one_key_over_several_shards(spark, tmp_path):
+    """Pages of one url, or of none, fill many shards; each is found, and a page that is not held can be an error."""
+    rows = spark.createDataFrame([(i, None if i % 2 else "http://x.example/same", f"v{i}") for i in range(400)], "page_id long, url string, html string")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        index = warc.build_index(warc.write_archives(warc.plan_records(rows), f"file://{tmp_path}"), f"file://{tmp_path}", block_rows=5)
+        assert len(index.shards) > 8
+        got = {r.page_id: r.payload for r in warc.read_back(rows, index, all_held=True).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: b"v%d" % i for i in range(400)}
+    reader = warc.IndexReader(index)
+    assert [r[1] for r in reader.captures("")] == list(range(1, 400, 2))
+    assert reader.capture("", 2) == [] and reader.capture("", 401) == []
+    absent = spark.createDataFrame([(401, "")], "page_id long, url string")
+    assert warc.read_back(absent, index).count() == 0
+    with pytest.raises(Exception, match="does not hold page 401"):
+        warc.read_back(absent, index, all_held=True).collect()
+
+
 def test_empty_table(spark, tmp_path):
     index = warc.archive(pages(spark).limit(0), f"file://{tmp_path}")
     assert index.shards == [] and warc.read_back(pages(spark), index).count() == 0
