@@ -5,6 +5,12 @@ link density, length and stop-word density, and by the element it stands in. Sho
 blocks stay open. Pass two gives an open block the label of its nearest decided neighbour,
 first among the blocks of its own article, then of the page.
 
+Furniture is an element of its own (nav, aside, form ...), a hidden one or one whose class or id
+names it. A name alone does not damn what it encloses: a main element inside is no furniture, nor
+is an article if the name is one of page parts (sidebar, nav ...) and no other article stands free
+of names; and where no block of the page is found good, articles inside named elements are decided
+anew, then blocks inside named page parts.
+
 Defined cases: null or empty html gives an empty text; a page without any tag is one block per
 page; unclosed comments and scripts run to the end; stray tags are ignored; white space includes
 the no-break space; line breaks inside a block are white space; repeated rows are extracted
@@ -44,14 +50,22 @@ BLOCKS = frozenset(
     figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select
     summary table tbody td tfoot th thead tr ul""".split()
 )
-# Words of a class or id that mark furniture.
+# Words of a class or id that mark parts of a page, which may be wrapped around its article.
+PARTS = re.compile(
+    r"(?:^|[\s_-])(?:banner|breadcrumbs?|footer|masthead|menu|nav|navbar|navigation|pager|pagination|sidebar|site-header|skip|toolbar|"
+    r"widgets?)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:header|page-header|topbar|rail)(?:$|\s)",
+    re.I,
+)
+# Words of a class or id that mark texts beside the article.
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|login|masthead|"
-    r"menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
-    r"sidebar|signup|site-header|skip|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])"
-    r"|(?:^|\s)(?:header|page-header|topbar|alert|copyright|disclaimer|rail)(?:$|\s)",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|commentlist|consent|cookies?|disqus|gdpr|login|modal|newsletter|notice|popup|promo\w*|"
+    r"related|replies|respond|share|sharing|signup|social|sponsor\w*|subscribe)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:alert|copyright|disclaimer)(?:$|\s)",
     re.I,
 )
+# Names that only tell how a page is laid out.
+LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|without)[_-]+\S+|no[_-]+(?!comments|replies)\S+|(?:both|left|right|two)[_-]+sidebars?(?=$|[\s_-])\S*)", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*>|</?([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][^\s>/]*)([^>]*)>", re.S)
@@ -59,6 +73,8 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORD = re.compile(r"\w+")
 
 GOOD, BAD, OPEN = 1, 0, None
+# How an element is marked: not at all, by the name of a page part, by the name of a text beside the article, by what it is.
+FREE, PART, BESIDE, SURE = 0, 1, 2, 3
 
 
 @dataclass
@@ -77,23 +93,28 @@ class Block:
     text: str
     linked: int
     region: int  # the article that holds it; 0: none
-    furniture: bool
+    mark: int  # the mark of what holds it, an article's surroundings apart
+    around: int = FREE  # the mark of what its article stands in
     label: int | None = OPEN
 
+    @property
+    def furniture(self) -> bool:
+        return self.mark > FREE
+
 
 def blocks(page: str) -> list[Block]:
     """The visible blocks of a page in order."""
     out: list[Block] = []
     parts: list[str] = []
     linked, link, at, regions = 0, False, 0, 0
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # element, inside furniture, article
+    stack: list[tuple[str, int, int, int]] = [("", FREE, 0, FREE)]  # element, mark, article, mark around the article
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), stack[-1][2], stack[-1][1]))
+                out.append(Block(text, min(linked, len(text)), stack[-1][2], stack[-1][1], stack[-1][3]))
             parts.clear()
         linked = 0
 
@@ -136,9 +157,9 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
             if name in ("p", "li", "td", "th", "tr", "dd", "dt", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "option"):
-                marked = False if closing else _marked(m[2] or m[4] or "")
+                marked = FREE if closing else _marked(m[2] or m[4] or "")
                 if marked:
-                    stack.append((name, True, stack[-1][2]))
+                    stack.append((name, max(marked, stack[-1][1]), *stack[-1][2:]))
                 elif closing and stack[-1][0] == name:
                     stack.pop()
                 continue
@@ -149,28 +170,58 @@ def blocks(page: str) -> list[Block]:
                         del stack[k:]
                         break
             elif name not in VOID:
-                _, furniture, region = stack[-1]
-                own = name in FURNITURE or (name == "header" and not region) or _marked(m[2] or m[4] or "")
+                _, mark, region, around = stack[-1]
+                own = SURE if name in FURNITURE or (name == "header" and not region) else _marked(m[2] or m[4] or "")
                 if name in ("article", "main") and not region:
                     regions += 1
-                    region, own = regions, False
+                    region, own = regions, FREE
+                    if mark < SURE:
+                        mark, around = FREE, mark if name == "article" else FREE
                 if name not in ("html", "body"):
-                    stack.append((name, furniture or own, region))
+                    stack.append((name, max(mark, own), region, around))
     flush()
     return out
 
 
-def _marked(attributes: str) -> bool:
-    """Whether attributes name furniture or hide the element."""
-    return bool(attributes) and (any(MARKS.search(a or b or c) for a, b, c in _NAMED.findall(attributes)) or bool(_UNSEEN.search(attributes)))
+def _marked(attributes: str) -> int:
+    """How attributes mark the element; hidden ones are surely not shown."""
+    if not attributes:
+        return FREE
+    if _UNSEEN.search(attributes):
+        return SURE
+    found = FREE
+    for named in _NAMED.findall(attributes):
+        name = named[0] or named[1] or named[2]
+        if MARKS.search(name) or PARTS.search(name):
+            name = LAYOUT.sub("", name)
+            found = max(found, BESIDE if MARKS.search(name) else PART if PARTS.search(name) else FREE)
+    return found
 
 
 def decide(found: list[Block], rules: Rules) -> None:
-    """Both passes; sets every label."""
+    """Both passes, as often as names of furniture hide the whole text; sets every label."""
+    enclosed = [b for b in found if b.around]
+    free = any(b.region and not b.around and not b.mark for b in found)
+    held = [b for b in enclosed if free or b.around == BESIDE]
+    for b in held:
+        b.mark = max(b.mark, b.around)
+    _passes(found, rules)
+    if held and not any(b.label == GOOD for b in found):
+        for b in held:
+            b.mark = FREE if b.mark == b.around else b.mark
+        _passes(found, rules)
+    parts = [b for b in found if b.mark == PART]
+    if parts and not any(b.label == GOOD for b in found):
+        for b in parts:
+            b.mark = FREE
+        _passes(found, rules)
+
+
+def _passes(found: list[Block], rules: Rules) -> None:
     for b in found:
         words = _WORD.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        size = len(b.text)
+        size, b.label = len(b.text), OPEN
         if b.furniture or b.linked / size > rules.linked:
             b.label = BAD
         elif size < rules.short:

@@ -102,6 +102,30 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "page-with-sidebar", "no-sidebar wide", "right-sidebar", "page-nav-wrapper", "site sidebar"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_are_no_furniture(name, inner):
+    side = f"<div class=sidebar><p>{ARTICLE}</p></div>" if inner != "div" else f"<aside><p>{ARTICLE}</p></aside>"
+    page = f"<div class='{name}'><{inner}><h1>Old house</h1><p>{ARTICLE}</p></{inner}>{side}</div><footer><p>{ARTICLE}</p></footer>"
+    assert html_text.main_text(page) == f"Old house\n{ARTICLE}"
+
+
+@pytest.mark.parametrize(
+    "beside",
+    [
+        f"<div id=comments><article><p>{ARTICLE}</p></article></div>",
+        f"<div class='sidebar'><article><p>{ARTICLE}</p></article></div>",
+        f"<aside class='has-sidebar'><article><p>{ARTICLE}</p></article></aside>",
+        f"<div style='display:none'><main><p>{ARTICLE}</p></main></div>",
+        f"<div class='share-with-friends'><p>{ARTICLE}</p></div>",
+        f"<div class='cookie-notice'><p>{ARTICLE}</p></div>",
+    ],
+)
+def test_furniture_beside_the_article(beside):
+    assert html_text.main_text(f"<article><p>{ARTICLE}</p></article>{beside}") == ARTICLE
+    assert html_text.main_text(f"{beside}<article><p>Tiny.</p></article>") == "Tiny."
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, f"<article><p>{ARTICLE * 500}</p></article>", "y"), (2, None, "<p>b</p>", "z")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.url, len(r.text)) for r in html_text.extract(df).collect())
