@@ -5,6 +5,10 @@ link density, length and stop-word density, and by the element it stands in. Sho
 blocks stay open. Pass two gives an open block the label of its nearest decided neighbour,
 first among the blocks of its own article, then of the page.
 
+An article none of whose blocks has the share of stop words may be in another language than the
+four: its long blocks are decided by length and link density alone. So are all long blocks of a
+page without any block of that share, and its blocks of middle length stay open.
+
 Furniture is an element of its own (nav, aside, form ...), a hidden one or one whose class or id
 names it. A name alone does not damn what it encloses: a main element inside is no furniture, nor
 is an article if the name is one of page parts (sidebar, nav ...) and no other article stands free
@@ -199,25 +203,38 @@ def _marked(attributes: str) -> int:
 
 
 def decide(found: list[Block], rules: Rules) -> None:
-    """Both passes, as often as names of furniture hide the whole text; sets every label."""
+    """Sets every label; where no block has the share of stop words, once more without that rule."""
+    marks = [b.mark for b in found]
+    if not _unhide(found, rules, False):
+        for b, mark in zip(found, marks, strict=True):
+            b.mark = mark
+        _unhide(found, rules, True)
+
+
+def _unhide(found: list[Block], rules: Rules, foreign: bool) -> bool:
+    """Both passes, as often as names of furniture hide the whole text."""
     enclosed = [b for b in found if b.around]
     free = any(b.region and not b.around and not b.mark for b in found)
     held = [b for b in enclosed if free or b.around == BESIDE]
     for b in held:
         b.mark = max(b.mark, b.around)
-    _passes(found, rules)
+    known = _passes(found, rules, foreign)
     if held and not any(b.label == GOOD for b in found):
         for b in held:
             b.mark = FREE if b.mark == b.around else b.mark
-        _passes(found, rules)
+        known = _passes(found, rules, foreign)
     parts = [b for b in found if b.mark == PART]
     if parts and not any(b.label == GOOD for b in found):
         for b in parts:
             b.mark = FREE
-        _passes(found, rules)
+        known = _passes(found, rules, foreign)
+    return known
 
 
-def _passes(found: list[Block], rules: Rules) -> None:
+def _passes(found: list[Block], rules: Rules, foreign: bool) -> bool:
+    """Sets every label; whether any block is good by its stop words. foreign: the page is decided without them."""
+    known: set[int] = set()  # articles that have such a block
+    few = []
     for b in found:
         words = _WORD.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
@@ -228,7 +245,13 @@ def _passes(found: list[Block], rules: Rules) -> None:
             b.label = OPEN
         elif stop >= rules.stop_high or (stop >= rules.stop_low and size >= rules.long):
             b.label = GOOD
-        elif stop < rules.stop_low and not b.region:
+            known.add(b.region)
+        elif stop < rules.stop_low:
+            few.append(b)
+    for b in few:
+        if foreign if not b.region else b.region not in known:
+            b.label = GOOD if len(b.text) >= rules.long else OPEN
+        elif not b.region:
             b.label = BAD
     first = [b.label for b in found]
     near = {}
@@ -250,6 +273,7 @@ def _passes(found: list[Block], rules: Rules) -> None:
             around = own if b.region else [k for k in (near[i, False][1], near[i, True][1]) if k is not None]
             # the nearest; of two as near, the good one
             b.label = first[min(around, key=lambda k: (abs(k - i), -first[k]))] if around else GOOD
+    return bool(known)
 
 
 def main_text(page: str, rules: Rules | None = None) -> str:

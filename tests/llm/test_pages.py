@@ -126,6 +126,22 @@ def test_furniture_beside_the_article(beside):
     assert html_text.main_text(f"{beside}<article><p>Tiny.</p></article>") == "Tiny."
 
 
+FOREIGN = "Gamla huset stod kvar uppe vid skogsbrynet medan byns folk höll sig borta därifrån, eftersom ingen vågade närma sig dess mörka fönster. " * 2
+
+
+def test_other_languages():
+    text = FOREIGN.strip()
+    middle = text[:120]
+    links = "<ul><li><a href=/a>Hem</a><li><a href=/b>Nyheter</a></ul>"
+    assert html_text.main_text(f"{links}<div><p>{text}</p><p>Kort.</p><p>{middle}</p><p>{text}</p></div><footer>{text}</footer>") == f"{text}\nKort.\n{middle}\n{text}"
+    linked = f"<p><a href=/x>{middle}</a></p>"
+    assert html_text.main_text(f"<article>{linked}<p>{text}</p><p>{text}</p></article>") == f"{text}\n{text}"
+    assert html_text.main_text(f"<p>{ARTICLE}</p><article>{linked}<p>{text}</p></article>") == f"{ARTICLE}\n{text}"
+    assert html_text.main_text(f"<div><p>{ARTICLE}</p></div><div><p>{text}</p></div>") == ARTICLE
+    # a name hides the article: what stands beside it is not taken for a page in another language
+    assert html_text.main_text(f"<div class=sidebar><div><p>{ARTICLE}</p></div></div><div>{text}</div>") == ARTICLE
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, f"<article><p>{ARTICLE * 500}</p></article>", "y"), (2, None, "<p>b</p>", "z")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.url, len(r.text)) for r in html_text.extract(df).collect())
