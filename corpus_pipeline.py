@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences: four stages, each written and read again.
 
 quality        documents that the line classifier rejects go
-near_copies    of each group of near-duplicate documents the one of least id stays
+near_copies    of each group of near-duplicate documents the one of least id stays, as one row
 repeats        passages that stand earlier in the corpus are cut out of the texts
 packing        texts become token windows; the result is one row for each piece
 
@@ -26,8 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = ngram_join.ngram_join(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # a row goes by its id and text, as an id may stand for several texts
+    near = ngram_join.ngram_join(docs, hashed=True).groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("stays"), F.bool_and("kept").alias("all_stay"))
+    near = stage(near.where("NOT all_stay"), "near-copies")
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+    def of(part: DataFrame, how: str) -> DataFrame:
+        return rows.join(part, rows["doc_id"].eqNullSafe(part["doc_id"]) & (rows["__hash"] == part["text_hash"]), how)
+
+    kept = of(near, "left_anti")
+    once = near.where("stays")  # repeated rows, of which one stays
+    if not once.isEmpty():
+        kept = kept.union(of(once, "left_semi").dropDuplicates(["doc_id", "__hash"]))
+    return kept.select(docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

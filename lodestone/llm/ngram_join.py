@@ -11,8 +11,9 @@ the sizes of all intersections of the full sets are counted. With 40 bands of 8
 similarity 0.8 is missed with probability 6e-4, one of 0.85 with 4e-6.
 
 Defined cases: a null or empty text, or one without words, links with nothing; rows with the same
-id are separate documents with one id; ties go to the smaller id; an empty table gives an empty
-table; extra columns are ignored; texts of any length are used whole.
+id are separate documents with one id, of a group of them exactly one row is kept; ties go to the
+smaller id, and a null id comes after all others; an empty table gives an empty table; extra
+columns are ignored; texts of any length are used whole.
 """
 
 from __future__ import annotations
@@ -170,11 +171,12 @@ def similar_pairs(sets: list[np.ndarray], threshold: float, side: np.ndarray | N
 
 
 def ngram_join(
-    df: DataFrame, threshold: float = SIMILAR, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block: int = cells.BLOCK
+    df: DataFrame, threshold: float = SIMILAR, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block: int = cells.BLOCK, hashed: bool = False
 ) -> DataFrame:
     """doc_id, n_links (documents of at least the threshold), component_id (the least id reachable by
-    links) and kept (its own id is that one) of every row."""
-    docs = documents(df, id_col, text_col)
+    links) and kept (its own id is that one, and of several such rows it is the first) of every row;
+    with hashed also text_hash, the xxhash64 of the text."""
+    docs = documents(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def signed(batches):
         hasher = BandHasher(bands, rows)
@@ -187,20 +189,22 @@ def ngram_join(
                 for k, b in zip(some, hasher([sets[k] for k in some]) if some else (), strict=True):
                     found[k] = b
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield {"doc_id": part.column(0), "key": keys, "bands": pa.array(found, pa.list_(pa.int64()))}
-
-    signed_docs = stage(map_arrow(docs, signed, "doc_id long, key binary, bands array<long>"), "signatures")
-    members = signed_docs.where("key IS NOT NULL").select("doc_id", "key")
-    reps = signed_docs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    reps = stage(reps, "sets")
+                yield {"doc_id": part.column(0), "text_hash": part.column(2), "key": keys, "bands": pa.array(found, pa.list_(pa.int64()))}
+
+    signed_docs = map_arrow(docs, signed, "doc_id long, text_hash long, key binary, bands array<long>")
+    signed_docs = stage(signed_docs.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    some = signed_docs.where("key IS NOT NULL")
+    # a set goes by the row of its least id, as a repeated id may carry several sets
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("first")
+    reps = some.groupBy("key").agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    reps = stage(reps.select("key", F.col("first.row").alias("rep"), "first", "copies", "bands"), "sets")
     entries = reps.select("rep", F.explode("bands").alias("bucket"))
     centres = entries.groupBy("bucket").agg(F.min("rep").alias("v"), F.count("*").alias("size")).where("size > 1").select("bucket", "v")
     stars = entries.join(centres, "bucket").select(F.col("rep").alias("u"), "v")
     parts = stage(connected_components(stars, "candidates"), "candidate-parts")
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = parts.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "copies", "key"), "node")
-    # a repeated id may carry several sets: only the one that the representative stands for counts
-    texts = docs.join(wanted, docs["doc_id"] == wanted["node"]).select("node", "component", "size", "copies", "key", "text")
+    wanted = parts.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "copies", "key", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "node")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["text_hash"] == wanted["hash"])).select("node", "component", "size", "copies", "key", "text")
 
     def sets_of(batches):
         for batch in batches:
@@ -216,7 +220,7 @@ def ngram_join(
 
     def verify(cell: pa.Table):
         ids = cell.column("rep").to_numpy()
-        at = np.unique(ids, return_index=True)[1]
+        at = np.unique(ids, return_index=True)[1]  # equal rows of one id all have the text
         ids = ids[at]
         if len(ids) < 2:
             return None
@@ -226,6 +230,12 @@ def ngram_join(
         return cells.linked_rows(ids, cell.column("copies").to_numpy()[at], i, j)
 
     linked = cells.compare(placed, ["component", "__i", "__j"], ["__mine", "rep", "copies", "members"], verify, "ngram-links")
-    found = cells.classes(members, reps.select("key", "rep", "copies"), linked, "doc_id")
-    alone = signed_docs.where("key IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return found.union(alone)
+    # classes by the sets' rows: of each set its links and the row that its component goes by
+    found = cells.classes(reps.select(F.col("rep").alias("set"), "key"), reps.select("key", "rep", "copies"), linked, "set")
+    found = stage(found.select(F.col("set").alias("rep"), "n_links", F.col("component_id").alias("part")).join(reps.select("rep", "key", "first"), "rep"), "ngram-classes")
+    least = found.groupBy("part").agg(F.min("first").alias("least"))
+    known = found.join(least, "part").select("key", "n_links", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("kept_row"))
+    more = ["text_hash"] if hashed else []
+    out = some.join(known, "key").select("doc_id", "n_links", "component_id", (F.col("row") == F.col("kept_row")).alias("kept"), *more)
+    alone = signed_docs.where("key IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *more)
+    return out.union(alone)

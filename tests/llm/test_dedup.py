@@ -117,6 +117,19 @@ def test_texts_equal_brute_force(spark, block):
     assert ngram_join.ngram_join(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    from corpus_pipeline import near_copies
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (2, b), (5, b + " more"), (5, c), (6, c + " more"), (7, None), (7, None), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.ngram_join(df).collect()), key=str)
+    want = [(1, 1, 1, True), (1, 1, 1, False), (2, 1, 2, True), (5, 1, 2, False), (5, 2, 5, True), (6, 2, 5, False), (7, 0, 7, True), (7, 0, 7, True), (None, 2, 5, False)]
+    assert got == sorted(want, key=str)
+    left = sorted((tuple(r) for r in near_copies(spark, df, "").collect()), key=str)
+    assert left == sorted([(1, a), (2, b), (5, c), (7, None), (7, None)], key=str)
+
+
 def test_pairs_with_frequent_members():
     r = np.random.default_rng(1)
     sets = [np.unique(np.concatenate([np.arange(k % 3 * 100, k % 3 * 100 + 60), r.integers(1000, 1200, 8)])).astype(np.uint64) for k in range(60)]
