@@ -44,7 +44,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeats(docs, as_text=True).select("doc_id", F.col("kept").alias("text"))
     rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    return cut.join(rest, "doc_id").withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    rest = rest.withColumnRenamed("doc_id", "__id")
+    return cut.join(rest, cut["doc_id"].eqNullSafe(rest["__id"])).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

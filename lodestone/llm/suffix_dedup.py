@@ -23,7 +23,7 @@ Removals of a unit are joined back to it. Nothing is sampled, capped or collecte
 
 Defined cases: a null or empty text, and any of fewer than `length` bytes, stays whole; matches
 never cross documents; rows with the same id are separate documents, in the order of their
-position; self-overlapping repeats count; an empty table gives an empty table; extra columns are
+position; those without an id come after all others; self-overlapping repeats count; an empty table gives an empty table; extra columns are
 ignored.
 """
 
@@ -48,6 +48,8 @@ SPLIT_FROM = 16
 _CHUNK = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 COVER, FETCH, ANCHORS, BYTES = 0, 1, 2, 3
+#: Where documents without an id stand.
+NO_ID = (1 << 63) - 1
 
 
 def _u(x: int) -> np.uint64:
@@ -83,30 +85,31 @@ def unpack_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 class Unit:
-    """Some documents, ordered by id, as one buffer."""
+    """Some documents, ordered by id, as one buffer; the last `none` of them have no id and count as NO_ID."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: bytes):
-        self.ids, self.sizes, self.data = ids, sizes, data
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: bytes, none: int = 0):
+        self.ids, self.sizes, self.data, self.none = ids, sizes, data, none
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
 
     @staticmethod
-    def of(docs: list[tuple[int, bytes]]) -> Unit:
-        docs = sorted(docs, key=lambda d: d[0])
-        return Unit(np.array([d[0] for d in docs], np.int64), np.array([len(d[1]) for d in docs], np.int64), b"".join(d[1] for d in docs))
+    def of(docs: list[tuple[int | None, bytes]]) -> Unit:
+        docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
+        ids = np.array([NO_ID if d[0] is None else d[0] for d in docs], np.int64)
+        return Unit(ids, np.array([len(d[1]) for d in docs], np.int64), b"".join(d[1] for d in docs), sum(d[0] is None for d in docs))
 
     def packed(self) -> bytes:
         import zstandard
 
-        return struct.pack("<I", len(self.ids)) + zstandard.ZstdCompressor(level=3).compress(self.ids.tobytes() + self.sizes.tobytes() + self.data)
+        return struct.pack("<II", len(self.ids), self.none) + zstandard.ZstdCompressor(level=3).compress(self.ids.tobytes() + self.sizes.tobytes() + self.data)
 
     @staticmethod
     def unpacked(blob: bytes) -> Unit:
         import zstandard
 
-        n = struct.unpack("<I", blob[:4])[0]
-        raw = zstandard.ZstdDecompressor().decompress(blob[4:])
-        return Unit(np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), raw[16 * n :])
+        n, none = struct.unpack("<II", blob[:8])
+        raw = zstandard.ZstdDecompressor().decompress(blob[8:])
+        return Unit(np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), raw[16 * n :], none)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.ends, at, side="right")]
@@ -539,7 +542,8 @@ def _cut(joined: DataFrame, as_text: bool) -> DataFrame:
                 gone = np.cumsum(gone)[:-1] > 0
                 data = np.frombuffer(unit.data, np.uint8)
                 rows = {"doc_id": [], "n_bytes": [], "starts": [], "ends": [], "kept": []}
-                for doc, lo, hi in zip(unit.ids.tolist(), unit.starts.tolist(), unit.ends.tolist(), strict=True):
+                ids = unit.ids.tolist()[: len(unit.ids) - unit.none] + [None] * unit.none
+                for doc, lo, hi in zip(ids, unit.starts.tolist(), unit.ends.tolist(), strict=True):
                     mask = gone[lo:hi]
                     edge = np.flatnonzero(np.diff(mask, prepend=False, append=False)) if mask.any() else np.zeros(0, np.int64)
                     if as_text and len(edge):

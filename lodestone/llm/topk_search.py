@@ -12,7 +12,8 @@ not its own candidate (same id). Ties go to the smaller id.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, take no
 part; a query with fewer than k candidates gets all; rows with the same id are each candidates of
-other queries; an empty table gives an empty table; extra columns are ignored.
+other queries; rows without an id take no part (neither could be named in the result); an empty
+table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str =
 
     Both tables hold an id and an array of integers without nulls."""
     pick = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<long>").alias("vector"))
-    rows, asked = pick(candidates), pick(queries)
+    rows, asked = (pick(df).where("id IS NOT NULL") for df in (candidates, queries))
     blocks, q_blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, candidate_block), (asked, query_block)))
     deal = lambda own, n, other, m: (F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
     columns = ("dim", "c", "q", "asks", "id", "vector")

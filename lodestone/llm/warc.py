@@ -13,7 +13,7 @@ unique to a task attempt and only names that a finished task returned are used,
 repeated tasks do no harm (what they left is not listed).
 
 Defined cases: null html is an empty payload; a null url is empty; line ends in a url are
-percent-encoded; rows with the same page_id and url are separate captures, read back as often as
+percent-encoded; a null page_id comes before all others and is read back as null; rows with the same page_id and url are separate captures, read back as often as
 they were written; an empty table gives no archives; extra columns are ignored; a page that
 the index does not hold has no record, and is an error where all are said to be held.
 """
@@ -68,11 +68,16 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
+def place(key: str, page_id: int | None) -> tuple:
+    """Where a capture stands in the index."""
+    return key, page_id is not None, page_id or 0
+
+
+def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """One record: a response with its payload, or a revisit with the payload's HTTP header."""
     head = [
         "WARC/1.1",
@@ -116,7 +121,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("sha", F.sha1("payload"))
     kept = rows.groupBy("sha").agg(F.max("page_id").alias("response_id"))
-    return rows.join(kept, "sha").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("response_id"), F.col("response_id")).alias("refers_to"))
+    return rows.join(kept, "sha").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -152,7 +157,7 @@ class CaptureIndex:
     """The shard list: first and last (key, page_id) and file of each shard, one for each range partition."""
 
     folder: str
-    shards: list[tuple[tuple[str, int], tuple[str, int], str]]
+    shards: list[tuple[tuple[str, bool, int], tuple[str, bool, int], str]]
 
 
 def build_index(captures: DataFrame, folder: str, block_rows: int = BLOCK_ROWS) -> CaptureIndex:
@@ -189,7 +194,7 @@ def build_index(captures: DataFrame, folder: str, block_rows: int = BLOCK_ROWS)
             yield {"first": [directory[0][0]], "first_id": [directory[0][1]], "last": [last[0]], "last_id": [last[1]], "file": [name]}
 
     shards = map_arrow(ordered, run, "first string, first_id long, last string, last_id long, file string").collect()
-    return CaptureIndex(folder, sorted(((r.first, r.first_id), (r.last, r.last_id), r.file) for r in shards))
+    return CaptureIndex(folder, sorted((place(r.first, r.first_id), place(r.last, r.last_id), r.file) for r in shards))
 
 
 class IndexReader:
@@ -218,7 +223,7 @@ class IndexReader:
             end = f.size()
             n = struct.unpack("<Q", f.read_at(8, end - 8))[0]
             found = json.loads(zlib.decompress(f.read_at(n, end - 8 - n)))
-            self.directories[name] = ([tuple(d[:2]) for d in found], [d[2:] for d in found])
+            self.directories[name] = ([place(*d[:2]) for d in found], [d[2:] for d in found])
         return self.directories[name]
 
     def rows(self, name: str, at: int, length: int) -> list:
@@ -231,12 +236,12 @@ class IndexReader:
         """All captures of a key: (url_key, page_id, file, offset, length)."""
         return self.search(key, lambda r: r[0])
 
-    def capture(self, key: str, page_id: int) -> list:
+    def capture(self, key: str, page_id: int | None) -> list:
         """The captures of one page: shards, blocks and rows are searched by (key, page_id)."""
-        return list(self.search((key, page_id), lambda r: (r[0], r[1])))
+        return list(self.search(place(key, page_id), lambda r: r))
 
     def search(self, want, part):
-        """The rows whose part (of key and page_id, in that order) is wanted; nothing wanted stands before the
+        """The rows whose part (of their place) is wanted; nothing wanted stands before the
         last shard or block that starts below it, nor from the first one on that starts above it."""
         shards = self.index.shards
         k = max(0, bisect.bisect_left(self.firsts, want, key=part) - 1)
@@ -246,8 +251,8 @@ class IndexReader:
                 j = max(0, bisect.bisect_left(firsts, want, key=part) - 1)
                 while j < len(firsts) and part(firsts[j]) <= want:
                     rows = self.rows(shards[k][2], *directory[j])
-                    i = bisect.bisect_left(rows, want, key=part)
-                    while i < len(rows) and part(rows[i]) == want:
+                    i = bisect.bisect_left(rows, want, key=lambda r: part(place(*r[:2])))
+                    while i < len(rows) and part(place(*rows[i][:2])) == want:
                         yield rows[i]
                         i += 1
                     j += 1
@@ -290,7 +295,7 @@ def read_back(requests: DataFrame, index: CaptureIndex, all_held: bool = False)
                     if r["warc-type"] == "response" and (digest(r["payload"]) != named or len(r["payload"]) != r["payload-length"]):
                         raise ValueError(f"{file} at {offset}: the payload is damaged")
                     to = r.get("refers-to-page-id")
-                    rows.append((int(r["page-id"]), r["payload-length"], named, r["warc-type"], int(to) if to else None, r["warc-target-uri"], r["payload"]))
+                    rows.append((None if r["page-id"] == "None" else int(r["page-id"]), r["payload-length"], named, r["warc-type"], int(to) if to else None, r["warc-target-uri"], r["payload"]))
                 if rows:
                     yield dict(zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"), map(list, zip(*rows, strict=True)), strict=True))
 

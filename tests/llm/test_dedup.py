@@ -197,6 +197,16 @@ def test_repeats_equal_brute_force(spark, options, sort_bytes, monkeypatch):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_documents_without_an_id_come_last(spark):
+    from corpus_pipeline import repeats
+
+    long = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(None, long, "x", 1), (7, long, "y", 1), (None, "short", "x", 1)], "doc_id long, text string, lang string, n_chars long")
+    got = sorted(((r.doc_id, len(r.kept)) for r in suffix_dedup.remove_repeats(df).collect()), key=str)
+    assert got == sorted([(7, len(long)), (None, 0), (None, 5)], key=str)
+    assert sorted((tuple(r) for r in repeats(spark, df, "").collect()), key=str) == sorted([(7, long, "y", len(long)), (None, "", "x", 0), (None, "short", "x", 5)], key=str)
+
+
 def test_cuts_keep_whole_characters(spark):
     passage = "é" * 120
     df = spark.createDataFrame([(1, "x" + passage), (2, "y" + passage + "z"), (3, "ü" + passage)], "doc_id long, text string")

@@ -66,6 +66,14 @@ def test_one_key_over_several_shards(spark, tmp_path):
         warc.read_back(absent, index, all_held=True).collect()
 
 
+def test_pages_without_an_id(spark, tmp_path):
+    rows = [(None, "http://x.example/", "v"), (3, "http://x.example/", "v"), (None, "http://x.example/", "w"), (4, None, "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload) for r in warc.read_back(df, warc.archive(df, f"file://{tmp_path}"), all_held=True).collect()]
+    want = [(None, "revisit", 3, b""), (3, "response", None, b"v"), (None, "response", None, b"w"), (4, "response", None, b"z")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark, tmp_path):
     index = warc.archive(pages(spark).limit(0), f"file://{tmp_path}")
     assert index.shards == [] and warc.read_back(pages(spark), index).count() == 0

@@ -128,3 +128,9 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(x.n_chars == len(x.text) for x in docs.collect())
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == ids
+
+
+def test_vectors_without_an_id_take_no_part(spark):
+    df = spark.createDataFrame([(None, [9, 9]), (1, [1, 0]), (2, [2, 1])], "vec_id long, vector array<long>")
+    got = sorted(tuple(r) for r in topk_search.top_k(df, df, k=5).collect())
+    assert got == [(1, 1, 2, 2), (2, 1, 1, 2)]
