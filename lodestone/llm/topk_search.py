@@ -79,13 +79,14 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_
             if done.any():
                 rows = now[done]
                 m = min(k, n)
-                key = np.where(np.isfinite(rows), rows * n - np.arange(n), -np.inf)
-                top = np.argpartition(-key, m - 1, axis=1)[:, :m]
-                value = np.take_along_axis(rows, top, 1)
-                a, b = np.nonzero(np.isfinite(value))
+                least = np.partition(rows, n - m, axis=1)[:, n - m, None]
+                above, tied = rows > least, rows == least
+                # of the rows with the mth score those of the least indexes
+                tied &= np.cumsum(tied, axis=1, dtype=np.int32) <= m - above.sum(1, keepdims=True)
+                a, b = np.nonzero((above | tied) & np.isfinite(rows))
                 out_q.append(live[done][a] + lo)
-                out_c.append(top[a, b])
-                out_s.append(value[a, b].astype(np.int64))
+                out_c.append(b)
+                out_s.append(rows[a, b].astype(np.int64))
             live = live[~done]
             depth *= DEEPER
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)

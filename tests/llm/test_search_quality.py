@@ -134,3 +134,10 @@ def test_vectors_without_an_id_take_no_part(spark):
     df = spark.createDataFrame([(None, [9, 9]), (1, [1, 0]), (2, [2, 1])], "vec_id long, vector array<long>")
     got = sorted(tuple(r) for r in topk_search.top_k(df, df, k=5).collect())
     assert got == [(1, 1, 2, 2), (2, 1, 1, 2)]
+
+
+def test_ties_of_large_scores_go_to_the_smaller_id():
+    x = np.full((8192, 2), 2.0**22)
+    x[::3] -= 1
+    q, c, s = topk_search.threshold_search(x, np.arange(8192), np.array([[2.0**23, 2.0**23]]), np.array([-1]), 20)
+    assert sorted(c) == [i for i in range(40) if i % 3][:20] and set(s) == {2**46}
