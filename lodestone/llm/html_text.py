@@ -16,8 +16,10 @@ of names; and where no block of the page is found good, articles inside named el
 anew, then blocks inside named page parts.
 
 Defined cases: null or empty html gives an empty text; a page without any tag is one block per
-page; unclosed comments and scripts run to the end; stray tags are ignored; white space includes
-the no-break space; line breaks inside a block are white space; repeated rows are extracted
+page; unclosed comments, scripts and styles run to the end, other hidden elements without an end
+hide nothing; a tag without an end is text; stray end tags are ignored; elements that HTML closes
+by itself (p, li, cells, headings, links) are closed; the time is proportional to the page's length,
+whatever its tags; white space includes the no-break space; line breaks inside a block are white space; repeated rows are extracted
 each; texts of any length are kept whole; extra columns are ignored; a null url stays null.
 """
 
@@ -26,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,36 +47,60 @@ STOP_WORDS = frozenset(
     al como con cual cuando del el ella ellos era esta este esto ha hay las lo los mas más me mi muy ni nos o para pero
     por porque se ser si sin sobre su sus también te tiene todo una uno y ya""".split()
 )
-# Elements whose text is never shown as text.
-HIDDEN = frozenset("script style noscript template svg math iframe object head title textarea canvas audio video".split())
+# Elements whose content is no text of the page; of the first kind it is raw text up to the end tag.
+RAW = frozenset("script style textarea title iframe noscript".split())
+HIDDEN = RAW | frozenset("template svg math object canvas audio video".split())
 # Elements that hold a page's furniture.
 FURNITURE = frozenset("nav footer aside form button select menu dialog".split())
 # Elements that end a block where they start or end.
 BLOCKS = frozenset(
     """address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
-    figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select
+    figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select
     summary table tbody td tfoot th thead tr ul""".split()
 )
+# Elements that end the open ones named with them when they start, up to the one that holds them all.
+_CELLS, _HEADINGS = ("td", "th"), tuple(f"h{k}" for k in range(1, 7))
+_ROWS = (*_CELLS, "tr")
+CLOSES = (
+    {"li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "option": (("option",), ("select",)), "tr": (_ROWS, ("table",))}
+    | dict.fromkeys(_CELLS, (_CELLS, ("tr", "table")))
+    | dict.fromkeys(("thead", "tbody", "tfoot"), ((*_ROWS, "thead", "tbody", "tfoot"), ("table",)))
+    | dict.fromkeys(_HEADINGS, (_HEADINGS, ("div", "section", "article", "main", "header", "td")))
+)
 # Words of a class or id that mark parts of a page, which may be wrapped around its article.
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:banner|breadcrumbs?|footer|masthead|menu|nav|navbar|navigation|pager|pagination|sidebar|site-header|skip|toolbar|"
-    r"widgets?)(?:$|[\s_-])"
-    r"|(?:^|\s)(?:header|page-header|topbar|rail)(?:$|\s)",
-    re.I,
+PARTS = frozenset(
+    """banner breadcrumb breadcrumbs footer masthead menu menus nav navbar navigation pager pagination sidebar sidebars
+    skip toolbar widget widgets""".split()
 )
+# Names that mark parts of a page only if they stand alone.
+ALONE = frozenset("header page-header site-header topbar rail".split())
 # Words of a class or id that mark texts beside the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|commentlist|consent|cookies?|disqus|gdpr|login|modal|newsletter|notice|popup|promo\w*|"
-    r"related|replies|respond|share|sharing|signup|social|sponsor\w*|subscribe)(?:$|[\s_-])"
-    r"|(?:^|\s)(?:alert|copyright|disclaimer)(?:$|\s)",
-    re.I,
+MARKS = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising advertorial comment comments commentlist consent cookie
+    cookies disqus gdpr login modal newsletter newsletters notice notices popup popups promo promos promoted promotion
+    promotions related replies respond share sharing signup social sponsor sponsored sponsors subscribe""".split()
+)
+ALONE_MARKS = frozenset("alert copyright disclaimer".split())
+# Words that may stand beside those words in a name without changing what it marks.
+NEUTRAL = frozenset(
+    """and area article articles bar block blog body bottom box btn button buttons center col column container content desktop
+    entry fixed fluid form friends global google icon icons inline inner item items js left link links list main mobile
+    more my of on outer overlay page panel post posts primary region right row secondary section site slot small square
+    sticky sub text the thread top unit us user view with wrap wrapper""".split()
 )
 # Names that only tell how a page is laid out.
-LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|without)[_-]+\S+|no[_-]+(?!comments|replies)\S+|(?:both|left|right|two)[_-]+sidebars?(?=$|[\s_-])\S*)", re.I)
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:$|[\s=])|aria-hidden\s*=\s*[\"']?true", re.I)
+LAYOUT = re.compile(r"^(?:(?:has|with|without)[_-]+.+|no[_-]+(?!comments|replies).+|(?:both|left|right|two)[_-]+sidebars?\b.*)$")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*>|</?([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?([a-zA-Z][^\s>/]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Deepest nesting that is followed, as browsers have it; deeper elements count as part of what holds them.
+DEEPEST = 512
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_START = re.compile(r"<(?=[a-zA-Z!?/])")
+# the parts of these patterns are possessive: each reads a page once
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>\"'=<]*+)((?:\s++[\w:-]++(?:=(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'=<>`]++))?+)*+)\s*+/?>")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)")
+_END_OF_LINK, _LINK = re.compile(r"</a[\s/>]", re.I), re.compile(r"<a[\s/>]", re.I)
+_PART = re.compile(r"[^\W_]+")
 _WORD = re.compile(r"\w+")
 
 GOOD, BAD, OPEN = 1, 0, None
@@ -106,19 +133,174 @@ class Block:
         return self.mark > FREE
 
 
+class Tags:
+    """The tags of a page in one pass.
+
+    An attribute's quotes count only behind its equals sign. What looks like a tag but has no end
+    is text, and so are all later ones without a mark of greater; where quotes hide every such mark,
+    tags end at the next one."""
+
+    def __init__(self, page: str):
+        self.page, self.loose, self.flat, self.open_ended = page, False, set(), set()
+
+    def __iter__(self):
+        """(start, end, name, closing, attributes) of each tag; comments and declarations have no name."""
+        page, n, at = self.page, len(self.page), 0
+        self.resume = None
+        while m := _START.search(page, at):
+            start = m.start()
+            plain = _PLAIN.match(page, start)
+            if plain:
+                at = plain.end()
+                yield start, at, plain[2].lower(), bool(plain[1]), plain[3]
+            elif page.startswith("<!--", start):
+                end = page.find("-->", start + 2)
+                at = n if end < 0 else end + 3
+                yield start, at, "", False, ""
+            elif page[start + 1] in "!?" or not (name := _NAME.match(page, start)):
+                end = page.find(">", start)
+                if end < 0:
+                    return
+                at = end + 1
+                yield start, at, "", False, ""
+            else:
+                end = self._end(name.end())
+                if end < 0:
+                    return
+                at = end
+                yield start, at, name[1].lower(), page[start + 1] == "/", page[name.end() : at - 1]
+            if self.resume is not None:
+                at, self.resume = self.resume, None
+
+    def _end(self, at: int) -> int:
+        """Behind the end of the tag whose attributes start here; -1: none."""
+        if not self.loose:
+            k = at
+            while m := _ATTRIBUTE.match(self.page, k):
+                if m[1]:
+                    return m.end()
+                k = m.end()
+            self.loose = True
+        return self.page.find(">", at) + 1 or -1
+
+    def skip(self, name: str, at: int) -> int:
+        """Behind the end of the hidden element that starts here; at itself if it has none."""
+        if name in self.open_ended:
+            return at
+        depth = 1
+        if name in RAW or name in self.flat:
+            if m := _closer(name).search(self.page, at):
+                return m.end()
+        else:
+            for m in _either(name).finditer(self.page, at):
+                depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+                if not depth:
+                    return m.end()
+            self.flat.add(name)  # from now on each ends at the next end tag
+            if m := _closer(name).search(self.page, at):
+                return at
+        self.open_ended.add(name)
+        return len(self.page) if name in ("script", "style", "textarea") else at
+
+
+@lru_cache(maxsize=32)
+def _closer(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I)
+
+
+@lru_cache(maxsize=32)
+def _either(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){name}(?=[\s/>])[^>]*+>", re.I)
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Names in lower case and values of a tag's attributes; of equal names the first counts."""
+    out: dict[str, str] = {}
+    at = 0
+    while at < len(raw) and (m := _ATTRIBUTE.match(raw, at)):
+        at = m.end()
+        if m[2]:
+            out.setdefault(m[2].lower(), html.unescape(m[3] or m[4] or m[5] or ""))
+    return out
+
+
+class Elements:
+    """The open block elements. A start tag closes the paragraph, and what else cannot hold it, as browsers do."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, int]] = [("", FREE, 0, FREE)]  # element, mark, article, mark around the article
+        self.count: dict[str, int] = {}
+        self.beyond: dict[str, int] = {}  # open ones that lie too deep
+        self.regions = 0
+
+    def cut(self, k: int) -> None:
+        for name, *_ in self.stack[k:]:
+            self.count[name] -= 1
+        del self.stack[k:]
+
+    def start(self, name: str, raw: str) -> None:
+        if self.stack[-1][0] == "p":
+            self.cut(len(self.stack) - 1)
+        names, holders = CLOSES.get(name, ((), ()))
+        if any(self.count.get(x) for x in names):
+            low = len(self.stack)
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] in holders:
+                    break
+                if self.stack[k][0] in names:
+                    low = k
+                    if names is _HEADINGS:
+                        break
+            self.cut(low)
+        if name in VOID or name in ("html", "body", "head"):
+            return
+        if len(self.stack) > DEEPEST:
+            self.beyond[name] = self.beyond.get(name, 0) + 1
+            return
+        _, mark, region, around = self.stack[-1]
+        own = SURE if name in FURNITURE or (name == "header" and not region) else _marked(raw)
+        if name in ("article", "main") and not region:
+            self.regions += 1
+            region, own = self.regions, SURE if own == SURE else FREE
+            if mark < SURE:
+                mark, around = FREE, mark if name == "article" else FREE
+        self.stack.append((name, max(mark, own), region, around))
+        self.count[name] = self.count.get(name, 0) + 1
+
+    def end(self, name: str) -> None:
+        if self.beyond.get(name):
+            self.beyond[name] -= 1
+            return
+        names = _HEADINGS if name in _HEADINGS else (name,)
+        if not any(self.count.get(x) for x in names):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k][0] in names:
+                self.cut(k)
+                return
+            if self.stack[k][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", *_CELLS):
+                return  # a cell is not left by the end of what lies around it
+
+
 def blocks(page: str) -> list[Block]:
-    """The visible blocks of a page in order."""
+    """The visible blocks of a page in order.
+
+    A link without an end tag of its own ends with its block; any link ends with the block
+    element that it started in."""
     out: list[Block] = []
     parts: list[str] = []
-    linked, link, at, regions = 0, False, 0, 0
-    stack: list[tuple[str, int, int, int]] = [("", FREE, 0, FREE)]  # element, mark, article, mark around the article
+    linked, at = 0, 0
+    link = None  # elements around the open link; whether it goes on in further blocks
+    next_end = next_link = -1
+    tags, open_ = Tags(page), Elements()
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), stack[-1][2], stack[-1][1], stack[-1][3]))
+                _, mark, region, around = open_.stack[-1]
+                out.append(Block(text, min(linked, len(text)), region, mark, around))
             parts.clear()
         linked = 0
 
@@ -130,76 +312,61 @@ def blocks(page: str) -> list[Block]:
             if link:
                 linked += len(text.strip())
 
-    n = len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        name = (m[1] or m[3] or "").lower()
-        if not name:
-            continue
-        closing = page[m.start() + 1] == "/"
+    for start, end, name, closing, raw in tags:
+        say(page[at:start])
+        at = end
         if name in HIDDEN:
-            if not closing and not (m[2] or m[4] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif name in ("head", "title", "svg", "math"):
-                    continue  # never closed: its text is taken as the page's
-                else:
-                    at = n
-            continue
-        if name == "br":
+            if not closing and not (name not in RAW and raw.endswith("/")) and page[end - 2] != "/":
+                at = tags.skip(name, at)
+                tags.resume = at
+        elif name == "br":
             parts.append(" ")
-            continue
-        if name == "a":
-            link = not closing
-            continue
-        if name in BLOCKS:
+        elif name == "a":
+            link = None
+            if not closing:
+                if next_end < at:
+                    m = _END_OF_LINK.search(page, at)
+                    next_end = m.start() if m else len(page) + 1
+                if next_link < at:
+                    m = _LINK.search(page, at)
+                    next_link = m.start() if m else len(page)
+                link = len(open_.stack), next_end < next_link
+        elif name in BLOCKS:
             flush()
-            if name in ("p", "li", "td", "th", "tr", "dd", "dt", "hr", "h1", "h2", "h3", "h4", "h5", "h6", "option"):
-                marked = FREE if closing else _marked(m[2] or m[4] or "")
-                if marked:
-                    stack.append((name, max(marked, stack[-1][1]), *stack[-1][2:]))
-                elif closing and stack[-1][0] == name:
-                    stack.pop()
-                continue
-            link = False
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            elif name not in VOID:
-                _, mark, region, around = stack[-1]
-                own = SURE if name in FURNITURE or (name == "header" and not region) else _marked(m[2] or m[4] or "")
-                if name in ("article", "main") and not region:
-                    regions += 1
-                    region, own = regions, FREE
-                    if mark < SURE:
-                        mark, around = FREE, mark if name == "article" else FREE
-                if name not in ("html", "body"):
-                    stack.append((name, max(mark, own), region, around))
+                open_.end(name)
+            else:
+                open_.start(name, raw)
+            if link and (not link[1] or len(open_.stack) < link[0]):
+                link = None
+    say(page[at:])
     flush()
     return out
 
 
-def _marked(attributes: str) -> int:
+def _marked(raw: str) -> int:
     """How attributes mark the element; hidden ones are surely not shown."""
-    if not attributes:
+    if not raw or raw.isspace():
         return FREE
-    if _UNSEEN.search(attributes):
+    found = attributes(raw)
+    if "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(found.get("style", "")):
         return SURE
-    found = FREE
-    for named in _NAMED.findall(attributes):
-        name = named[0] or named[1] or named[2]
-        if MARKS.search(name) or PARTS.search(name):
-            name = LAYOUT.sub("", name)
-            found = max(found, BESIDE if MARKS.search(name) else PART if PARTS.search(name) else FREE)
-    return found
+    return max((_named(name) for key in ("class", "id", "role") for name in found.get(key, "").lower().split()), default=FREE)
+
+
+@lru_cache(maxsize=4096)
+def _named(name: str) -> int:
+    """What one whole name says: its words must all be furniture or neutral, and one of them furniture."""
+    if LAYOUT.match(name):
+        return FREE
+    if name in ALONE_MARKS:
+        return BESIDE
+    if name in ALONE:
+        return PART
+    words = [w.rstrip("0123456789") for w in _PART.findall(name)]
+    if any(w and w not in MARKS and w not in PARTS and w not in NEUTRAL for w in words):
+        return FREE
+    return BESIDE if any(w in MARKS for w in words) else PART if any(w in PARTS for w in words) else FREE
 
 
 def decide(found: list[Block], rules: Rules) -> None:
