@@ -73,6 +73,111 @@ def test_held_out_accuracy():
     assert quality_crf.fit([], []).score(["x"]).tolist() == [0.5]
 
 
+def mixed(n, seed):
+    """Documents with the labels of their lines; a bad one has good lines around its bad ones."""
+    r = random.Random(seed)
+    word = lambda: r.choice("the of and a house river stone light under people water long time".split())
+    line = lambda: " ".join(word() for _ in range(r.randint(5, 12))) + "."
+    noise = [lambda: line().upper().replace(" ", "!! "), lambda: " | ".join(line().split()), lambda: line().replace(" ", "&&& "), lambda: (word() + " ") * 20]
+    out = []
+    for _ in range(n):
+        marks = [1] * r.randint(3, 9)
+        if r.random() < 0.4:
+            marks = [int(r.random() < 0.5) for _ in marks]
+        out.append(("\n".join(line() if m else r.choice(noise)() for m in marks), marks))
+    return out
+
+
+def test_bad_lines_of_mixed_documents_are_found():
+    """Learned from the labels of whole documents alone."""
+    known = mixed(300, 4)
+    field = quality_crf.fit([t for t, _ in known], [int(all(m)) for _, m in known])
+    fresh = mixed(200, 5)
+    p, _, first = field.marginals([t for t, _ in fresh])
+    want = np.array([m for _, marks in fresh for m in marks])
+    assert ((p >= 0.5) == want).mean() > 0.97
+    parts = [p[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    both = [(x.min() < 0.5 < x.max()) for x, (_, m) in zip(parts, fresh, strict=True) if 0 < sum(m) < len(m)]
+    assert np.mean(both) > 0.95
+    s = field.score([t for t, _ in fresh])
+    share = np.array([sum(len(x) for x, m in zip(t.split("\n"), marks, strict=True) if m) / sum(map(len, t.split("\n"))) for t, marks in fresh])
+    assert np.abs(s - share).mean() < 0.05
+
+
+def test_score_equals_enumeration():
+    """Every path over the lines of a text, its weight from the field, and the mean of the lines' bytes."""
+    field = quality_crf.fit(*made(80))
+    texts = ["one line", "", "A!! B!!\nthe house of the people.\n\na | b", "x\nx\nx", "é é\nthe river"]
+    for text, got in zip(texts, field.score(texts), strict=True):
+        lines = text.split("\n")
+        x = (plain_features(lines) - field.mean) / field.scale
+        good = x @ field.weights[:-1] + field.weights[-1]
+        total, on = 0.0, np.zeros(len(lines))
+        for path in np.ndindex(*(2,) * len(lines)):
+            w = np.exp(sum(g for g, s in zip(good, path, strict=True) if s) + sum(field.move[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total, on = total + w, on + w * np.array(path)
+        size = np.array([max(1, len(x.encode())) for x in lines])
+        assert got == pytest.approx((on / total) @ size / size.sum(), abs=1e-9)
+
+
+def plain_features(lines):
+    """The features of one text's lines, character by character."""
+    own = []
+    for i, line in enumerate(lines):
+        raw, w = line.encode(), line.split()
+        n, some = max(1, len(raw)), max(1, len(w))
+        count = lambda chars, raw=raw: sum(chr(b) in chars for b in raw)
+        upper, lower = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("abcdefghijklmnopqrstuvwxyz")
+        own.append(
+            [
+                upper / max(1, upper + lower), (count("#$%&*<>{}[]^~_=+/\\@`") / n) ** 0.5, min(count("!") / some, 2), min(count("|") / some, 1), sum(a == b for a, b in zip(w, w[1:], strict=False)) / some,
+                1 - len(set(w)) / some, np.log1p(len(raw)), float(i > 0 and lines[i - 1] == line), (count("0123456789") / n) ** 0.5, min(count(".,;:?'\"()-") / some, 2), min(len(raw) / some, 30) / 10,
+                sum(b >= 128 for b in raw) / n, float(len(w) < 4), float(line[-1:] in (".", "?")),
+            ]
+        )
+    none = [0.0] * 8
+    return np.array([row + (own[i - 1][:8] if i else none) + (own[i + 1][:8] if i + 1 < len(own) else none) + [float(i == 0), float(i + 1 == len(own))] for i, row in enumerate(own)])
+
+
+def test_gradient_of_the_latent_likelihood():
+    texts, labels = made(12)
+    x, _, first = quality_crf.line_features(texts)
+    assert quality_crf.OWN == plain_features(["a"]).shape[1] - 18
+    r = np.random.default_rng(0)
+    v = r.normal(size=x.shape[1] + 4) * 0.3
+    of = lambda v: quality_crf.latent_loss(v, x, first, np.array(labels), 1.0)
+    grad = of(v)[1]
+    for k in range(len(v)):
+        step = np.zeros(len(v))
+        step[k] = 1e-5
+        assert (of(v + step)[0] - of(v - step)[0]) / 2e-5 == pytest.approx(grad[k], rel=1e-4, abs=1e-4)
+
+
+def test_training_bytes_are_bounded(spark):
+    texts, labels = made(80)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] + [(i, y) for i, y in enumerate(labels)] + [(None, 0)], "doc_id long, quality int")
+    once = quality_crf.train(docs.dropDuplicates(), marks)
+    np.testing.assert_array_equal(quality_crf.train(docs, marks).weights, once.weights)
+    # a text that does not fit is passed over, the others are still learned from
+    long = docs.union(spark.createDataFrame([(1000, "A!! " * 100_000)], "doc_id long, text string"))
+    more = marks.union(spark.createDataFrame([(1000, 0)], "doc_id long, quality int"))
+    np.testing.assert_array_equal(quality_crf.train(long, more, label_bytes=200_000).weights, once.weights)
+    assert not quality_crf.train(docs, marks, label_bytes=0).weights.any()
+
+
+def test_accuracy_on_rows_never_learned_from(spark):
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    field = quality_crf.train(docs, labels)
+    rows = labels.where(quality_crf.held_out(labels.doc_id)).join(docs, "doc_id").select("text", "quality").collect()
+    texts, want = [r.text or "" for r in rows], np.array([r.quality for r in rows])
+    assert ((field.score(texts) >= quality_crf.GOOD_FROM) == want).mean() >= 0.99
+    p, _, first = field.marginals(texts)
+    parts = [p[a:b] for a, b, y in zip(first[:-1], first[1:], want, strict=True) if not y]
+    assert sum(x.min() < 0.5 < x.max() for x in parts) >= 10  # bad documents with good lines
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(1)
     first = np.array([0, 4, 5, 9])
