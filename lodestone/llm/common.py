@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,3 +34,26 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that count, as (doc_id, text); a null text is empty."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+# arrays travel as byte planes, which compress
+
+
+def pack_arrays(*arrays: np.ndarray) -> bytes:
+    import zstandard
+
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays)
+    return struct.pack("<I", len(arrays[0])) + zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    import zstandard
+
+    n = struct.unpack("<I", blob[:4])[0]
+    raw, out, at = zstandard.ZstdDecompressor().decompress(blob[4:]), [], 0
+    for kind in map(np.dtype, kinds):
+        size = kind.itemsize * n
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size
+    return out

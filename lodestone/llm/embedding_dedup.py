@@ -1,26 +1,37 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
 A hash turns the unit vector by three rounds of random signs and a fast Hadamard transform and
-takes the axis (with sign) that lies nearest. `functions` hashes make a bucket; a vector enters
-its own bucket and, as multiprobe, those of its second nearest axis in one of the functions.
-Pairs that share a bucket of one of `tables` tables are verified by cosine in double precision.
-A pair that shares several buckets is counted in the first one only.
+takes the axis (with sign) that lies nearest. `functions` hashes make a bucket of a table; a vector
+enters its own bucket and, as multiprobe, in each function whose second axis is nearly as near as
+the first (`CLOSE`) also the bucket with that one.
 
-Vectors with the same components are merged before (a common vector costs one row). Buckets of
-any size are compared in blocked cells (cells.py); nothing is capped.
+1. Each task merges its entries: a bucket keeps the least vector of the task, the others are tied
+   to it. What is left is dealt out by bucket, where the least vector of all is the centre of the
+   bucket's star. Only bucket and vector number travel (some 6 bytes an entry), and a bucket that
+   holds a third of all vectors brings one entry a batch.
+2. The connected components of the stars hold all candidate pairs. With so many functions that
+   unlike vectors hardly ever meet, components are little more than groups of near copies.
+3. The vectors of components are fetched, once for each distinct one, and compared in blocked cells
+   (cells.py) by cosine in double precision. Nothing is capped.
 
-With 64 components, 2 functions, 10 tables and 3 probes the chance to miss a pair of cosine 0.95
-is about 1e-5, and less for nearer pairs (tests measure it). With more vectors, raise `functions`
-so that buckets stay small, and `tables` with them.
+How many functions: the fewest with which a vector is expected to meet at most `CHANCE` others below
+the threshold, by the cosines in a sample of at most SAMPLE vectors and the number of all. It
+decides how long the operator takes, not what it finds. How many tables: so many that a pair of
+exactly the threshold's cosine is missed with probability `miss`, nearer pairs with less; the
+chance that one table finds it is measured on made pairs when the plan is drawn up.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link
 with nothing; vectors of different lengths never link; rows with the same id and vector are
-copies of each other; an empty table gives an empty table; extra columns are ignored.
+copies of each other, rows of one id with different vectors are vectors of their own; a row without
+an id links like any other, a class without any id has none, and such rows are kept where their
+class has no id; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +39,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import cells
-from lodestone.llm.common import map_arrow, stage
+from lodestone.llm.common import connected_components, map_arrow, pack_arrays, stage, unpack_arrays
+
+#: A second axis is probed if it is at least so near, relative to the first.
+CLOSE = 0.9
+#: Vectors below the threshold that a vector may be expected to meet.
+CHANCE = 0.5
+#: Vectors whose cosines tell how alike unlike ones are.
+SAMPLE = 1024
+#: Most functions of a bucket.
+FUNCTIONS = 12
+#: Entries of a task that ties buckets.
+ENTRIES = 4_000_000
+_PIECE = 2048
 
 
 class CrossPolytope:
@@ -36,44 +59,108 @@ class CrossPolytope:
         self.dim, self.tables, self.functions = dim, tables, functions
         self.size = 1 << max(1, (dim - 1).bit_length())
         rng = np.random.default_rng([seed, dim])
-        self.signs = rng.choice([-1.0, 1.0], (tables * functions, 3, self.size))
+        self.signs = rng.choice(np.array([-1.0, 1.0], np.float32), (tables * functions, 3, self.size, 1))
 
     def rotate(self, x: np.ndarray, which: int) -> np.ndarray:
-        y = np.zeros((len(x), self.size))
-        y[:, : self.dim] = x
+        y = np.zeros((self.size, len(x)), x.dtype)
+        y[: self.dim] = x.T
+        z = np.empty_like(y)
         for signs in self.signs[which]:
-            y = y * signs
+            y *= signs
             half = 1
             while half < self.size:
-                y = y.reshape(len(x), -1, 2, half)
-                y = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], 2).reshape(len(x), self.size)
+                a, b = y.reshape(-1, 2, half, len(x)), z.reshape(-1, 2, half, len(x))
+                np.add(a[:, 0], a[:, 1], out=b[:, 0])
+                np.subtract(a[:, 0], a[:, 1], out=b[:, 1])
+                y, z = z, y
                 half *= 2
-            y /= np.sqrt(self.size)
-        return y
-
-    def axes(self, x: np.ndarray, which: int) -> np.ndarray:
-        """The nearest and second nearest axis of each vector; axis i is 2i, its opposite 2i + 1."""
-        y = self.rotate(x, which)
-        near = np.argpartition(-np.abs(y), 1, axis=1)[:, :2]
-        value = np.take_along_axis(y, near, 1)
-        order = np.argsort(-np.abs(value), axis=1, kind="stable")
-        near, value = np.take_along_axis(near, order, 1), np.take_along_axis(value, order, 1)
-        return near * 2 + (value < 0)
+            y *= y.dtype.type(self.size**-0.5)
+        return y.T
+
+    def axes(self, x: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest and second nearest axis of each vector, and the second's share of the first.
+
+        Axis i is 2i, its opposite 2i + 1."""
+        y = np.ascontiguousarray(self.rotate(x, which))
+        value, row = np.abs(y), np.arange(len(x))
+        first = value.argmax(1)
+        most = value[row, first]
+        value[row, first] = -1
+        second = value.argmax(1)
+        near = np.stack([first, second], 1)
+        return near * 2 + (np.take_along_axis(y, near, 1) < 0), value[row, second] / most
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
-        """(rows, tables, 1 + functions) bucket numbers: the own one, then a probe for each function."""
+        """(rows, tables, 1 + functions) bucket numbers: the own one, then a probe for each function (or the own one again)."""
         out = np.empty((len(x), self.tables, 1 + self.functions), np.int64)
-        base = 2 * self.size
-        for t in range(self.tables):
-            axes = np.stack([self.axes(x, t * self.functions + f) for f in range(self.functions)], 1)
-            power = base ** np.arange(self.functions, dtype=np.uint64)
-            own = (axes[:, :, 0].astype(np.uint64) * power).sum(1)
-            probes = own[:, None] + (axes[:, :, 1].astype(np.uint64) - axes[:, :, 0].astype(np.uint64)) * power
-            code = np.concatenate([own[:, None], probes], 1) * np.uint64(self.tables) + np.uint64(t)
-            code = (code + np.uint64(self.dim * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-            out[:, t] = (code ^ (code >> np.uint64(31))).view(np.int64)
+        for lo in range(0, len(x), _PIECE):
+            out[lo : lo + _PIECE] = self._buckets(x[lo : lo + _PIECE])
         return out
 
+    def _buckets(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), self.tables, 1 + self.functions), np.int64)
+        base = np.uint64(2 * self.size)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.append(np.uint64(1), np.full(self.functions - 1, base | np.uint64(1))), dtype=np.uint64)
+            for t in range(self.tables):
+                own = np.zeros(len(x), np.uint64)
+                moved = np.zeros((len(x), self.functions), np.uint64)
+                for f in range(self.functions):
+                    axes, close = self.axes(x, t * self.functions + f)
+                    axes = axes.astype(np.uint64)
+                    own += axes[:, 0] * power[f]
+                    moved[:, f] = np.where(close >= CLOSE, (axes[:, 1] - axes[:, 0]) * power[f], np.uint64(0))
+                code = np.concatenate([own[:, None], own[:, None] + moved], 1) * np.uint64(self.tables) + np.uint64(t)
+                code = (code + np.uint64(self.dim * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+                out[:, t] = (code ^ (code >> np.uint64(31))).view(np.int64)
+        return out
+
+
+@lru_cache(maxsize=64)
+def meeting(dim: int, cosine: float, seed: int = 11, pairs: int = 1000, functions: int = 6) -> tuple[float, float]:
+    """Of one function, for a pair of this cosine: the chance that the first axes agree, and the chance that they
+    do not but one's second axis, close enough to be probed, is the other's first."""
+    rng = np.random.default_rng([seed, dim])
+    a, b = rng.normal(size=(2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    b = cosine * a + np.sqrt(1 - cosine**2) * b
+    h, same, turned = CrossPolytope(dim, 1, functions, seed), 0.0, 0.0
+    for f in range(functions):
+        (x, near_x), (y, near_y) = (h.axes(v.astype(np.float32), f) for v in (a, b))
+        agree = x[:, 0] == y[:, 0]
+        probed = (x[:, 1] == y[:, 0]) & (near_x >= CLOSE) | (y[:, 1] == x[:, 0]) & (near_y >= CLOSE)
+        same, turned = same + agree.mean() / functions, turned + (probed & ~agree).mean() / functions
+    return max(same, 0.5 / (2 * h.size)), turned
+
+
+def found_by_a_table(dim: int, cosine: float, functions: int) -> float:
+    same, turned = meeting(dim, cosine)
+    return same**functions + functions * turned * same ** (functions - 1)
+
+
+@dataclass(frozen=True)
+class Plan:
+    tables: int
+    functions: int
+
+
+def plan(dim: int, rows: int, threshold: float = 0.95, miss: float = 1e-4, cosines: np.ndarray | None = None) -> Plan:
+    """Tables and functions for so many vectors, of which a sample has these cosines (default: all at right angles)."""
+    grid = np.linspace(0, 0.9, 7)
+    if cosines is None or not len(cosines):
+        share = np.eye(len(grid))[0]
+    else:
+        below = np.clip(cosines[cosines < threshold], 0, None)
+        share = np.bincount(np.minimum(np.ceil(below / (grid[1] - grid[0])).astype(int), len(grid) - 1), minlength=len(grid)) / len(cosines)
+    for functions in range(2, FUNCTIONS + 1):
+        tables = max(1, int(np.ceil(np.log(miss) / np.log1p(-min(found_by_a_table(dim, threshold, functions), 1 - 1e-9)))))
+        met = sum(s * min(1.0, tables * found_by_a_table(dim, float(c), functions)) for s, c in zip(share, grid, strict=True) if s)
+        if rows * met <= CHANCE:
+            break
+    return Plan(tables, functions)
+
 
 def usable(column: str) -> F.Column:
     """Not null or empty, and all components finite, not all of them zero."""
@@ -88,6 +175,12 @@ def _vectors(column) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def _units(vectors: list[np.ndarray]) -> np.ndarray:
+    x = np.stack(vectors).astype(float)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_pairs(vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs i < j of rows with a cosine of at least threshold, in double precision."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -100,68 +193,140 @@ def near_pairs(vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.nd
     return i[sure >= threshold], j[sure >= threshold]
 
 
+def _plans(reps: DataFrame, good: DataFrame, rows: int, threshold: float, miss: float) -> dict[int, Plan]:
+    """A plan for each length of vectors in a sample of at most SAMPLE vectors (a fraction of the rows by a hash)."""
+    share = min(1.0, 2 * SAMPLE / max(1, rows))
+    sample = good.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vector").limit(SAMPLE).toArrow()
+    by_dim: dict[int, list[np.ndarray]] = {}
+    for v in _vectors(sample.column("vector")) if sample.num_rows else ():
+        by_dim.setdefault(len(v), []).append(v)
+    out = {}
+    for dim, found in by_dim.items():
+        x = _units(found)
+        out[dim] = plan(dim, rows, threshold, miss, (x @ x.T)[np.triu_indices(len(x), 1)])
+    return out
+
+
+def _tie(node: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each bucket's least node stands, and (node, least node) of the others, each pair once."""
+    order = np.lexsort((node, bucket))
+    new = np.ones(len(order), bool)
+    new[1:] = bucket[order[1:]] != bucket[order[:-1]]
+    first = order[new]
+    centre = np.repeat(node[first], np.diff(np.append(np.flatnonzero(new), len(order))))
+    u, v = node[order], centre
+    tied = np.unique(np.stack([u[u != v], v[u != v]], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+    return first, tied[:, 0], tied[:, 1]
+
+
+_ENTRIES, _EDGES = 0, 1
+
+
+def _stars(keyed: DataFrame, plans: dict[int, Plan], rows: int, parts: int, threshold: float, miss: float, seed: int) -> DataFrame:
+    """(u, v): each vector of a bucket with another and the bucket's least one."""
+
+    def enter(batches):
+        hashers: dict[int, CrossPolytope] = {}
+        for b in batches:
+            vectors, nodes = _vectors(b.column(1)), b.column(0).to_numpy()
+            nodes, at = np.unique(nodes, return_index=True)
+            by_dim: dict[int, list[int]] = {}
+            for k, i in enumerate(at.tolist()):
+                by_dim.setdefault(len(vectors[i]), []).append(k)
+            node, bucket = [], []
+            for dim, ks in by_dim.items():
+                if dim not in hashers:
+                    how = plans.get(dim) or plan(dim, rows, threshold, miss)
+                    hashers[dim] = CrossPolytope(dim, how.tables, how.functions, seed)
+                for lo in range(0, len(ks), _PIECE):
+                    some = ks[lo : lo + _PIECE]
+                    found = hashers[dim].buckets(_units([vectors[at[k]] for k in some]).astype(np.float32)).reshape(len(some), -1)
+                    found.sort(axis=1)
+                    new = np.ones(found.shape, bool)
+                    new[:, 1:] = found[:, 1:] != found[:, :-1]
+                    bucket.append(found[new])
+                    node.append(np.repeat(nodes[some], new.sum(1)))
+            if not node:
+                continue
+            node, bucket = np.concatenate(node), np.concatenate(bucket)
+            first, u, v = _tie(node, bucket)
+            dest = (bucket[first].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            first = first[np.argsort(dest, kind="stable")]  # by bucket within a destination
+            cuts = np.searchsorted(np.sort(dest), np.arange(parts + 1))
+            out = [(p, _ENTRIES, pack_arrays(bucket[first[a:z]], node[first[a:z]])) for p, a, z in zip(range(parts), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < z]
+            if len(u):
+                out.append((int(u[0]) % parts, _EDGES, pack_arrays(u, v)))
+            for k in range(0, len(out), 256):
+                yield dict(zip(("dest", "kind", "blob"), map(list, zip(*out[k : k + 256], strict=True)), strict=True))
+
+    def meet(batches):
+        node, bucket = [], []
+        for b in batches:
+            for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x, y = unpack_arrays(blob, "i8", "i8")
+                if kind == _EDGES:
+                    yield {"u": x, "v": y}
+                else:
+                    bucket.append(x)
+                    node.append(y)
+        if node:
+            _, u, v = _tie(np.concatenate(node), np.concatenate(bucket))
+            for k in range(0, len(u), 100_000):
+                yield {"u": u[k : k + 100_000], "v": v[k : k + 100_000]}
+
+    dealt = map_arrow(keyed, enter, "dest int, kind int, blob binary").repartitionById(parts, "dest")
+    return map_arrow(dealt, meet, "u long, v long")
+
+
 def near_duplicates(
-    df: DataFrame, threshold: float = 0.95, tables: int = 10, functions: int = 2, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", block: int = cells.BLOCK
+    df: DataFrame, threshold: float = 0.95, miss: float = 1e-4, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", block: int = cells.BLOCK
 ) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
+    # float32 inputs travel as float32: the cast to double is exact
+    kind = "array<float>" if dict(df.dtypes)[vector_col] == "array<float>" else "array<double>"
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast(kind).alias("vector"))
     good = rows.where(usable("vector"))
 
-    def keyed(batches):
+    def key(batches):
         for b in batches:
-            yield {"vec_id": b.column(0), "key": [hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() for v in _vectors(b.column(1))], "vector": b.column(1)}
+            keys = [hashlib.blake2b((v + 0.0).astype(float).tobytes(), digest_size=16).digest() for v in _vectors(b.column(1))]
+            yield {"vec_id": b.column(0), "key": keys, "node": np.frombuffer(b"".join(k[:8] for k in keys), np.int64), "vector": b.column(1)}
 
-    members = map_arrow(good, keyed, "vec_id long, key binary, vector array<double>")
-    reps = members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
-
-    def hashed(batches):
-        hashers: dict[int, CrossPolytope] = {}
-        for b in batches:
-            vectors = _vectors(b.column(3))
-            out = [None] * len(vectors)
-            by_dim: dict[int, list[int]] = {}
-            for k, v in enumerate(vectors):
-                by_dim.setdefault(len(v), []).append(k)
-            for dim, at in by_dim.items():
-                hasher = hashers.setdefault(dim, CrossPolytope(dim, tables, functions, seed))
-                x = np.stack([vectors[k] for k in at])
-                x = x / np.abs(x).max(1, keepdims=True)
-                for k, found in zip(at, hasher.buckets(x / np.linalg.norm(x, axis=1, keepdims=True)), strict=True):
-                    out[k] = found.ravel()
-            yield {"key": b.column(0), "rep": b.column(1), "copies": b.column(2), "vector": b.column(3), "buckets": out}
-
-    reps = stage(map_arrow(reps, hashed, "key binary, rep long, copies long, vector array<double>, buckets array<long>"), "vectors")
-    entries = reps.select("rep", F.explode(F.array_distinct("buckets")).alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = cells.with_cells(entries.join(sizes, "bucket"), "rep", "size", block)
-    # float32 inputs travel as float32: the cast back is exact
-    narrow = dict(df.dtypes)[vector_col] == "array<float>"
-    rows_in = placed.join(reps.select("rep", "copies", "buckets", F.col("vector").cast("array<float>" if narrow else "array<double>").alias("vector")), "rep")
-    probes = 1 + functions
+    keyed = map_arrow(good, key, f"vec_id long, key binary, node long, vector {kind}")
+    members = keyed.select("vec_id", "key")
+    sets = members.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    sets = stage(sets.withColumn("rep", F.monotonically_increasing_id()), "vector-sets")
+    n = sets.count()
+    plans = _plans(sets, good, n, threshold, miss)
+    entries = n * max((p.tables * (1 + 0.5 * p.functions) for p in plans.values()), default=1)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(entries // ENTRIES) + 1)
+    stars = _stars(keyed.select("node", "vector"), plans, n, parts, threshold, miss, seed)
+    parts_of = stage(connected_components(stars, "vector-candidates"), "vector-candidate-parts")
+    wanted = parts_of.join(parts_of.groupBy("component").agg(F.count("*").alias("size")), "component")
+    held = keyed.select("key", "node", "vector").join(wanted, "node").groupBy("key").agg(*(F.first(c).alias(c) for c in ("component", "size", "vector")))
+    placed = cells.with_cells(held.join(sets.select("key", "rep", "copies"), "key").select("rep", "component", "size", "copies", "vector"), "rep", "size", block)
 
     def verify(cell: pa.Table):
-        bucket, i_block, j_block = (cell.column(k)[0].as_py() for k in range(3))
-        mine = cell.column("__mine").to_numpy()
-        x = np.stack(_vectors(cell.column("vector"))).astype(float)
-        x = x / np.abs(x).max(1, keepdims=True)
-        i, j = near_pairs(x, threshold)
-        if i_block != j_block:
-            across = mine[i] != mine[j]
-            i, j = i[across], j[across]
-        if not len(i):
-            return None
-        own = np.stack(_vectors(cell.column("buckets"))).reshape(len(x), tables, probes)
-        table = int(np.argmax((own[0] == bucket).any(1)))
-        first = np.ones(len(i), bool)
-        for t in range(table + 1):
-            a, b = own[i, t], own[j, t]
-            same = a[:, :, None] == b[:, None, :]
-            if t == table:
-                same &= (a < bucket)[:, :, None]
-            first &= ~same.any((1, 2))
-        return cells.linked_rows(cell.column("rep").to_numpy(), cell.column("copies").to_numpy(), i[first], j[first])
-
-    linked = cells.compare(rows_in, ["bucket", "__i", "__j"], ["__mine", "rep", "copies", "buckets", "vector"], verify, "vector-links")
-    found = cells.classes(members.select("vec_id", "key"), reps.select("key", "rep", "copies"), linked, "vec_id")
+        mine, vectors = cell.column("__mine").to_numpy(), _vectors(cell.column("vector"))
+        ids, copies = cell.column("rep").to_numpy(), cell.column("copies").to_numpy()
+        across = cell.column(1)[0].as_py() != cell.column(2)[0].as_py()
+        found = []
+        length = np.array([len(v) for v in vectors])
+        for dim in np.unique(length):
+            at = np.flatnonzero(length == dim)
+            x = np.stack([vectors[k] for k in at]).astype(float)
+            i, j = near_pairs(x / np.abs(x).max(1, keepdims=True), threshold)
+            i, j = at[i], at[j]
+            keep = mine[i] != mine[j] if across else np.ones(len(i), bool)
+            found.append((i[keep], j[keep]))
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        return cells.linked_rows(ids, copies, i, j) if len(i) else None
+
+    linked = cells.compare(placed, ["component", "__i", "__j"], ["__mine", "rep", "copies", "vector"], verify, "vector-links")
+    known = cells.classes(sets.select(F.col("rep").alias("set"), "key"), sets.select("key", "rep", "copies"), linked, "set")
+    known = stage(known.select(F.col("set").alias("rep"), "n_links", F.col("component_id").alias("part")).join(sets.select("rep", "key", "least"), "rep"), "vector-classes")
+    known = known.join(known.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("key", "n_links", "component_id")
+    kept = F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
+    found = members.join(known, "key").select("vec_id", "n_links", "component_id", kept)
     alone = rows.where(~usable("vector")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return found.union(alone)

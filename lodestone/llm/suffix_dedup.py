@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, map_arrow, stage
+from lodestone.llm.common import documents, map_arrow, pack_arrays, stage, unpack_arrays
 
 #: Length of the strings, of the anchor word inside, and bytes of a unit.
 LENGTH, WORD, UNIT_BYTES = 100, 32, 4 << 20
@@ -61,29 +61,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _u(29))
 
 
-# arrays travel as byte planes, which compress
-
-
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b"" for a in arrays)
-    return struct.pack("<I", len(arrays[0])) + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def unpack_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
-
-    n = struct.unpack("<I", blob[:4])[0]
-    raw, out, at = zstandard.ZstdDecompressor().decompress(blob[4:]), [], 0
-    for kind in map(np.dtype, kinds):
-        size = kind.itemsize * n
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
-        at += size
-    return out
-
-
 class Unit:
     """Some documents, ordered by id, as one buffer; the last `none` of them have no id and count as NO_ID."""
 

@@ -323,6 +323,24 @@ def test_components(spark):
 # regression
 
 
+@pytest.mark.parametrize("held", [2, 40, 10**6])
+def test_components_of_any_share(spark, held):
+    """Whatever tasks hold: rounds alone, rounds and one task, one task alone."""
+    r = np.random.default_rng(8)
+    hub = [(1000, int(i)) for i in r.permutation(60)]
+    line = r.permutation(np.arange(2000, 2030))
+    path = [(int(a), int(b)) for a, b in zip(line, line[1:], strict=False)]
+    pairs_ = [(int(a), int(b)) for a, b in r.integers(3000, 3060, (40, 2))]
+    edges = hub + path + pairs_ + pairs_
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3), held=held).collect()}
+    root = {n: n for e in edges for n in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {n: c for n, c in root.items() if any(n in e and e[0] != e[1] for e in edges)}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_gram(spark):
     x = RNG.normal(size=(30, 5))
     df = frame(spark, x)
