@@ -1,7 +1,9 @@
 """Linear models: least squares, ridge, lasso, elastic net and logistic regression.
 
 Least squares of every kind needs one pass for the means and one for the centred cross products; the
-solver works on that p x p matrix. Logistic regression makes one pass for each Newton step.
+solver works on that p x p matrix. Logistic regression makes one pass for each step: Newton's while the
+coefficients are at most NEWTON (each task then adds up their matrix), else one of L-BFGS, of which a
+task adds up the gradient alone.
 The penalty of ridge is lambda/2 |w|^2 beside 1/2 |r|^2, that of lasso and elastic net lambda beside
 1/(2n) |r|^2; the intercept is never penalised and is the last coefficient.
 """
@@ -20,6 +22,8 @@ from lodestone.operators.optim import elastic_net, lbfgs
 from lodestone.operators.params import Configured, Param
 
 YES = Param(False, kind=bool)
+#: Most coefficients of a logistic regression that Newton steps are taken for.
+NEWTON = 256
 
 
 class LinearModel(Configured):
@@ -130,10 +134,11 @@ class LinearModel(Configured):
         blocks = 1 if k == 2 else k - 1 if rsc else k
         p = self._p = len(data.select("x").first().x)
         d, use = p + int(self.intercept), self.intercept
+        newton = blocks * d <= NEWTON
 
         def run_for(w):
             def run(batches):
-                h, g, value, right = np.zeros((blocks * d,) * 2), np.zeros(blocks * d), 0.0, 0
+                h, g, value = np.zeros((blocks * d,) * 2 if newton else (0, 0)), np.zeros(blocks * d), 0.0
                 for batch in batches:
                     if not len(batch):
                         continue
@@ -150,19 +155,18 @@ class LinearModel(Configured):
                     r = (prob - hit)[:, at]
                     g += (r.T @ x).ravel()
                     q = prob[:, at]
-                    for a in range(blocks):
+                    for a in range(blocks if newton else 0):
                         for c in range(a, blocks):
                             u = q[:, a] * ((a == c) - q[:, c])
                             part = x.T @ (x * u[:, None])
                             h[a * d : (a + 1) * d, c * d : (c + 1) * d] += part
                             if a != c:
                                 h[c * d : (c + 1) * d, a * d : (a + 1) * d] += part.T
-                    right += int((z.argmax(1) == y).sum())
-                return np.concatenate([h.ravel(), g, [value, right]])
+                return np.concatenate([h.ravel(), g, [value]])
 
             flat = sum_arrays(data, run)
             size = blocks * d
-            return flat[: size * size].reshape(size, size), flat[size * size : -2], flat[-2]
+            return flat[: -size - 1].reshape((size, size) if newton else (0, 0)), flat[-size - 1 : -1], flat[-1]
 
         lam = self.reg_lambda
         mask = np.tile(np.append(np.ones(p), np.zeros(d - p)), blocks)
@@ -170,24 +174,27 @@ class LinearModel(Configured):
 
         def at(v):
             h, g, value = run_for(v.reshape(blocks, d))
-            return value + lam / 2 * (mask * v) @ v, g + lam * mask * v, h + lam * np.diag(mask)
+            return value + lam / 2 * (mask * v) @ v, g + lam * mask * v, h + lam * np.diag(mask) if newton else None
 
         v = w.ravel()
-        value, g, h = at(v)
-        for self.n_iter in range(1, min(self.max_iter, 100) + 1):
-            if np.abs(g).max() <= self.tol:
-                break
-            step, rate = -np.linalg.pinv(h, rcond=1e-10, hermitian=True) @ g, 1.0
-            for _ in range(25):
-                new = at(v + rate * step)
-                if new[0] <= value + 1e-4 * rate * (g @ step) + 1e-12 * abs(value):
+        if newton:
+            value, g, h = at(v)
+            for self.n_iter in range(1, self.max_iter + 1):
+                if np.abs(g).max() <= self.tol:
+                    break
+                step, rate = -np.linalg.pinv(h, rcond=1e-10, hermitian=True) @ g, 1.0
+                for _ in range(25):
+                    new = at(v + rate * step)
+                    if new[0] <= value + 1e-4 * rate * (g @ step) + 1e-12 * abs(value):
+                        break
+                    rate /= 2
+                gain, v = value - new[0], v + rate * step
+                value, g, h = new
+                if gain <= 1e-12 * max(1.0, abs(value)):
                     break
-                rate /= 2
-            gain, v = value - new[0], v + rate * step
-            value, g, h = new
-            if gain <= 1e-12 * max(1.0, abs(value)):
-                break
         else:
+            v, value, g, self.n_iter = lbfgs(lambda v: at(v)[:2], v, self.max_iter, self.tol)
+        if self.n_iter >= self.max_iter and np.abs(g).max() > self.tol:
             warnings.warn("logistic regression stopped at max_iter", UserWarning, stacklevel=4)
         self.coef, self.loss, self.nrm_gradient_loss = v.reshape(blocks, d), float(value), float(np.abs(g).max())
         self.dual_gap = None

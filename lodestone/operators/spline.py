@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.staging import stage
+
 CELLS = "series long, cell int, x0 double, x1 double, a double, b double, c double, d double"
 
 
@@ -95,19 +97,27 @@ class CubicSpline:
         return self
 
     def search_cells(self, points: DataFrame, series: str | None = None, x: str = "x") -> DataFrame:
-        """The points with their cell and its coefficients; points outside fall into the end cells."""
+        """The points with their cell and its coefficients; points outside fall into the end cells.
+
+        Sites and points are range-partitioned together, so that a series of any length is searched
+        by many tasks; a range whose points stand before its first site takes the last site of the
+        ranges before (one row for each range and series is carried over)."""
         if not self.fitted:
             raise RuntimeError("the spline is not fitted")
         own = [c for c in points.columns if c != "__s"]
         s = F.col(series).cast("long") if series else F.lit(0).cast("long")
         cell = F.struct("cell", "x0", "x1", "a", "b", "c", "d")
-        sites = self.cells.select(F.col("series").alias("__s"), F.col("x0").alias("__x"), F.lit(0).alias("__o"), cell.alias("__k"), *(F.lit(None).cast(t).alias(c) for c, t in points.dtypes))
+        cells = self.cells.select(F.col("series").alias("__s"), F.col("x0").alias("__x"), cell.alias("__k"))
+        sites = cells.select("__s", "__x", F.lit(0).alias("__o"), "__k", *(F.lit(None).cast(t).alias(c) for c, t in points.dtypes))
         rows = points.select(s.alias("__s"), F.col(x).cast("double").alias("__x"), F.lit(1).alias("__o"), F.lit(None).cast(dict(sites.dtypes)["__k"]).alias("__k"), *own)
-        w = Window.partitionBy("__s").orderBy("__x", "__o")
-        both = sites.unionByName(rows)
-        last = F.last("__k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        first = F.first("__k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return both.withColumn("__c", F.coalesce(last, first)).where("__o = 1").select(*own, "__x", "__c.*")
+        dealt = stage(sites.unionByName(rows).repartitionByRange("__s", "__x").withColumn("__p", F.spark_partition_id()), "spline-points")
+        ends = dealt.where("__o = 0").groupBy("__s", "__p").agg(F.max_by("__k", "__x").alias("__k"))
+        spans = dealt.select("__s", "__p").distinct().join(ends, ["__s", "__p"], "left")
+        earlier = F.last("__k", ignorenulls=True).over(Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+        carried = spans.select("__s", "__p", earlier.alias("__before")).join(cells.groupBy("__s").agg(F.min_by("__k", "__x").alias("__first")), "__s", "left")
+        inside = F.last("__k", ignorenulls=True).over(Window.partitionBy("__s", "__p").orderBy("__x", "__o").rowsBetween(Window.unboundedPreceding, 0))
+        found = dealt.withColumn("__l", inside).where("__o = 1").join(carried, ["__s", "__p"])
+        return found.withColumn("__c", F.coalesce("__l", "__before", "__first")).select(*own, "__x", "__c.*")
 
     def evaluate(self, points: DataFrame, series: str | None = None, x: str = "x", orders: tuple[int, ...] = (0,)) -> DataFrame:
         """Adds d0, d1, ...: the value and the wanted derivatives (up to 3)."""

@@ -92,13 +92,13 @@ class _Forest(Configured):
         sizes = {r.f: r.n for r in distinct.groupBy("f").agg(F.count("*").alias("n")).collect()}
         if max(sizes.values()) > EXACT_VALUES:
             raise ValueError(f"a feature has {max(sizes.values())} distinct values: use histogram=True above {EXACT_VALUES}")
-        values: list[list[float]] = [[] for _ in range(p)]
-        for r in distinct.collect():  # at most EXACT_VALUES a feature
-            values[r.f].append(r.v)
+        # sorted in tasks; at most EXACT_VALUES a feature
+        found = distinct.groupBy("f").agg(F.sort_array(F.collect_list("v")).alias("v")).toArrow()
+        values = dict(zip(found.column("f").to_pylist(), found.column("v").combine_chunks(), strict=True))
         out = []
         self._categories = [None] * p
         for f in range(p):
-            v = np.sort(np.array(values[f]))
+            v = values[f].values.to_numpy()
             if getattr(self, "detect_categorical_data", False) and len(v) <= self.max_category and (np.abs(v - np.rint(v)) <= self.category_tolerance).all():
                 self._categories[f] = v
             wide = np.diff(v) >= self.feat_thresh
@@ -133,11 +133,11 @@ class _Forest(Configured):
         place, weights, bound = self._place, self._weights, 1 << 20
 
         def run(batches):
-            total: dict[int, float] = {}
+            total: dict[tuple[int, int], float] = {}
 
             def out():
-                key = np.fromiter(total.keys(), np.int64, len(total))
-                rows = pa.RecordBatch.from_pydict({"key": key, "n": np.fromiter(total.values(), float, len(total))})
+                key = np.array(list(total), np.int64).reshape(-1, 2)
+                rows = pa.RecordBatch.from_pydict({"nf": key[:, 0].copy(), "cell": key[:, 1].copy(), "n": np.fromiter(total.values(), float, len(total))})
                 total.clear()
                 return rows
 
@@ -156,17 +156,16 @@ class _Forest(Configured):
                         for f in tried[t, nodes[j]].tolist():
                             cell = binned[rows, f] * k + y[rows]
                             sums = np.bincount(cell, weights=w[rows])
-                            base = ((t * (1 << 24) + nodes[j]) * p + f) * width * k
+                            nf = (t * (1 << 24) + nodes[j]) * p + f
                             for c in np.flatnonzero(sums).tolist():
-                                total[base + c] = total.get(base + c, 0.0) + sums[c]
+                                total[nf, c] = total.get((nf, c), 0.0) + sums[c]
                     if len(total) > bound:
                         yield out()
             if total:
                 yield out()
 
-        counts = data.mapInArrow(run, "key long, n double").groupBy("key").agg(F.sum("n").alias("n"))
-        cell = F.col("key")
-        per_class = counts.select((cell / (width * k)).cast("long").alias("nf"), cell.alias("key"), "n")
+        # nf: a feature of a node of a tree; cell: a bin of it and a class
+        counts = data.mapInArrow(run, "nf long, cell long, n double").groupBy("nf", "cell").agg(F.sum("n").alias("n"))
         choose = self._best
         schema = "tree long, node long, feature int, threshold double, exact int, gain double, counts array<double>, left array<double>"
 
@@ -175,15 +174,15 @@ class _Forest(Configured):
             if not frames:
                 return
             nf = np.concatenate([b.column(0).to_numpy() for b in frames])
-            key = np.concatenate([b.column(1).to_numpy() for b in frames])
+            cell = np.concatenate([b.column(1).to_numpy() for b in frames])
             num = np.concatenate([b.column(2).to_numpy() for b in frames])
             order = np.argsort(nf, kind="stable")
-            nf, key, num = nf[order], key[order], num[order]
+            nf, cell, num = nf[order], cell[order], num[order]
             edge = np.flatnonzero(np.concatenate(([True], nf[1:] != nf[:-1])))
             rows = []
             for lo, hi in zip(edge, np.append(edge[1:], len(nf)), strict=True):
                 table = np.zeros(width * k)
-                table[key[lo:hi] - nf[lo] * width * k] = num[lo:hi]
+                table[cell[lo:hi]] = num[lo:hi]
                 node, f = divmod(int(nf[lo]), p)
                 rows.append((node >> 24, node & (1 << 24) - 1, f, *choose(table.reshape(width, k), f)))
             names = ("tree", "node", "feature", "threshold", "exact", "gain", "counts", "left")
@@ -191,7 +190,7 @@ class _Forest(Configured):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], list(names))
 
         # a group is one feature of one node: at most as many rows as bins times classes
-        found = per_class.withColumn("nf", F.floor(cell / F.lit(width * k)).cast("long")).repartition("nf").mapInArrow(best, schema)
+        found = counts.repartition("nf").mapInArrow(best, schema)
         splits = found.groupBy("tree", "node").agg(F.min(F.struct((-F.col("gain")).alias("g"), "feature", "threshold", "exact", "counts", "left")).alias("s")).collect()
         new = set()
         for r in sorted(splits, key=lambda r: (r.tree, r.node)):

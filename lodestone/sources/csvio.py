@@ -20,16 +20,12 @@ _LADDER = (
 def _lines(spark: SparkSession, path: str, terminator: str | None) -> DataFrame:
     """(no, line): the lines of the files with their place in the order of the files.
 
-    Lines are numbered per input partition; the partitions' offsets (one number each) are added."""
+    Lines are numbered per input partition; the sum of the sizes before (one row for each partition) is joined to them."""
     reader = spark.read.option("lineSep", terminator) if terminator else spark.read
     raw = reader.text(path).select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    sizes = {r.p: r.n for r in raw.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    offset, offsets = 0, []
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(offset)
-        offset += sizes.get(p, 0)
-    start = F.element_at(F.array(*map(F.lit, offsets or [0])), F.col("p") + 1)
-    return raw.select((start.cast("long") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    sizes = raw.groupBy("p").agg(F.count("*").alias("n"))
+    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return raw.join(F.broadcast(before), "p").select((F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
 
 def read_csv(
@@ -97,10 +93,6 @@ def read_csv(
     width = len(names)
     if header:
         rows = rows.where(F.col("no") != first[0].no)
-    ragged = rows.where(F.size("cells") != width).orderBy("no").limit(1).collect()
-    if ragged:
-        raise ValueError(f"line {ragged[0].no + 1} has {len(ragged[0].cells)} cells, expected {width}")
-
     def number(c):
         c = F.trim(c)
         if thousands:
@@ -112,14 +104,13 @@ def read_csv(
         return c
 
     at = [F.element_at("cells", i + 1) for i in range(width)]
-    if datatype == "auto":
-        tests = [F.min(number(c).rlike(rule)).alias(f"{kind}{i}") for i, c in enumerate(at) for kind, rule in _LADDER]
-        told = rows.agg(*tests).first()
-        kinds = []
-        for i in range(width):
-            kinds.append(next((kind for kind, _ in _LADDER if told[f"{kind}{i}"]), "string"))
-    else:
-        kinds = [datatype] * width
+    # one pass for the first ragged row and the types
+    ragged = F.min(F.when(F.size("cells") != width, F.struct("no", F.size("cells").alias("n")))).alias("ragged")
+    tests = [F.min(number(F.try_element_at("cells", F.lit(i + 1))).rlike(rule)).alias(f"{kind}{i}") for i in range(width) for kind, rule in _LADDER] if datatype == "auto" else []
+    told = rows.agg(ragged, *tests).first()
+    if told.ragged:
+        raise ValueError(f"line {told.ragged.no + 1} has {told.ragged.n} cells, expected {width}")
+    kinds = [next((kind for kind, _ in _LADDER if told[f"{kind}{i}"]), "string") if datatype == "auto" else datatype for i in range(width)]
     out = []
     for name, c, kind in zip(names, at, kinds, strict=True):
         if kind == "string":

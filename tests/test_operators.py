@@ -341,6 +341,48 @@ def test_components_of_any_share(spark, held):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_logistic_by_gradients_reaches_the_same_optimum(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 3))
+    y = (x @ r.normal(size=(3, 3)) + r.normal(size=(300, 3))).argmax(1)
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, y int")
+    fit = lambda: linear.LinearModel(mod="logistic", intercept=True, reg_lambda=1.0, tol=1e-6).fit(df, ["a", "b", "c"], "y")
+    newton = fit()
+    monkeypatch.setattr(linear, "NEWTON", 0)
+    steps = fit()
+    assert steps.loss == pytest.approx(newton.loss, rel=1e-8) and np.allclose(steps.coef, newton.coef, atol=1e-4)
+    with pytest.warns(UserWarning, match="max_iter"):
+        linear.LinearModel(mod="logistic", intercept=True, max_iter=2, tol=0.0).fit(df, ["a", "b", "c"], "y")
+
+
+def test_trees_of_many_bins_and_nodes(spark):
+    """Features, bins and trees whose numbers exceed what a double holds."""
+    r = np.random.default_rng(6)
+    x = r.random((400, 3))
+    y = (x[:, 1] > 0.5).astype(int) * 2 + (x[:, 2] > 0.3)
+    df = spark.createDataFrame([(i, [float(v) for v in a], int(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, label int")
+    forest = trees.RandomForest(n_trees=3, max_depth=4, seed=1, features_selection="all").fit(df)
+    found = forest.predict(df).collect()
+    assert np.mean([a.label == a.prediction for a in found]) > 0.97
+    sums = [sum(n[4]) for n in forest.nodes[2] if n[0] >= 0]
+    assert all(n[4] is not None for t in forest.nodes for n in t) and sums[0] == max(sums)
+
+
+def test_spline_points_over_many_ranges(spark):
+    """Ranges without sites take the last site of the ranges before them."""
+    sites = spark.createDataFrame([(0, float(x), float(x * x)) for x in range(4)] + [(1, float(x), 1.0) for x in (0, 10)], "s long, x double, y double")
+    points = spark.createDataFrame([(s, -1 + i / 100) for s in (0, 1) for i in range(1000)], "s long, x double").repartition(7)
+    fitted = spline.CubicSpline("natural").fit(sites, series="s")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = fitted.search_cells(points, series="s").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(got) == 2000
+    for r in got:
+        assert r.cell == (min(2, max(0, math.floor(r.x + 1e-12))) if r.s == 0 else 0), r
+
+
 def test_gram(spark):
     x = RNG.normal(size=(30, 5))
     df = frame(spark, x)
