@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.components import connected_components  # noqa: F401
+from lodestone.operators.components import connected_components, local_roots  # noqa: F401
 from lodestone.sources.staging import shared_dir, stage  # noqa: F401
 
 
@@ -57,3 +59,49 @@ def unpack_arrays(blob: bytes, *kinds: str) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
+
+
+#: Bits of a map (8 MB), and of the parts in which it is made.
+MAP_BITS, PART_BITS = 26, 20
+
+
+def bit_map(df: DataFrame, column: str) -> bytes:
+    """Bits of the values (64-bit hashes) of a column, compressed; its size does not grow with the rows.
+
+    Parts of the map are made and united by tasks."""
+    size = 1 << (PART_BITS - 3)
+
+    def mark(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            for part in np.unique(bit >> np.uint64(PART_BITS)).tolist():
+                at = (bit[bit >> np.uint64(PART_BITS) == part] & np.uint64((1 << PART_BITS) - 1)).astype(np.int64)
+                np.bitwise_or.at(parts.setdefault(part, np.zeros(size, np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for part, bits in parts.items():
+            yield {"part": [part], "bits": [zlib.compress(bits.tobytes(), 1)]}
+
+    def unite(batches):
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts.setdefault(part, np.zeros(size, np.uint8))[:] |= np.frombuffer(zlib.decompress(bits), np.uint8)
+        for part, bits in parts.items():
+            yield {"part": [part], "bits": [zlib.compress(bits.tobytes(), 1)]}
+
+    schema = "part int, bits binary"
+    whole = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    for r in map_arrow(map_arrow(df.select(column), mark, schema).repartition("part"), unite, schema).collect():  # at most 64 rows
+        whole[r.part * size : (r.part + 1) * size] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return zlib.compress(whole.tobytes(), 1)
+
+
+@lru_cache(maxsize=1)
+def _bits(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
+def marked(packed: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the map."""
+    bit = (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (_bits(packed)[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1

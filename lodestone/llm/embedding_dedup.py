@@ -11,8 +11,9 @@ the first (`CLOSE`) also the bucket with that one.
    holds a third of all vectors brings one entry a batch.
 2. The connected components of the stars hold all candidate pairs. With so many functions that
    unlike vectors hardly ever meet, components are little more than groups of near copies.
-3. The vectors of components are fetched, once for each distinct one, and compared in blocked cells
-   (cells.py) by cosine in double precision. Nothing is capped.
+3. The vectors of components are fetched, once for each distinct one (a bit map of fixed size leaves
+   out the rest before anything is shuffled), and compared in blocked cells (cells.py) by cosine in
+   double precision. Nothing is capped.
 
 How many functions: the fewest with which a vector is expected to meet at most `CHANCE` others below
 the threshold, by the cosines in a sample of at most SAMPLE vectors and the number of all. It
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import cells
-from lodestone.llm.common import connected_components, map_arrow, pack_arrays, stage, unpack_arrays
+from lodestone.llm.common import bit_map, connected_components, map_arrow, marked, stage
 
 #: A second axis is probed if it is at least so near, relative to the first.
 CLOSE = 0.9
@@ -49,8 +50,6 @@ CHANCE = 0.5
 SAMPLE = 1024
 #: Most functions of a bucket.
 FUNCTIONS = 12
-#: Entries of a task that ties buckets.
-ENTRIES = 4_000_000
 _PIECE = 2048
 
 
@@ -193,7 +192,7 @@ def near_pairs(vectors: np.ndarray, threshold: float) -> tuple[np.ndarray, np.nd
     return i[sure >= threshold], j[sure >= threshold]
 
 
-def _plans(reps: DataFrame, good: DataFrame, rows: int, threshold: float, miss: float) -> dict[int, Plan]:
+def _plans(good: DataFrame, rows: int, threshold: float, miss: float) -> dict[int, Plan]:
     """A plan for each length of vectors in a sample of at most SAMPLE vectors (a fraction of the rows by a hash)."""
     share = min(1.0, 2 * SAMPLE / max(1, rows))
     sample = good.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vector").limit(SAMPLE).toArrow()
@@ -207,75 +206,30 @@ def _plans(reps: DataFrame, good: DataFrame, rows: int, threshold: float, miss:
     return out
 
 
-def _tie(node: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each bucket's least node stands, and (node, least node) of the others, each pair once."""
-    order = np.lexsort((node, bucket))
-    new = np.ones(len(order), bool)
-    new[1:] = bucket[order[1:]] != bucket[order[:-1]]
-    first = order[new]
-    centre = np.repeat(node[first], np.diff(np.append(np.flatnonzero(new), len(order))))
-    u, v = node[order], centre
-    tied = np.unique(np.stack([u[u != v], v[u != v]], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-    return first, tied[:, 0], tied[:, 1]
-
-
-_ENTRIES, _EDGES = 0, 1
-
-
-def _stars(keyed: DataFrame, plans: dict[int, Plan], rows: int, parts: int, threshold: float, miss: float, seed: int) -> DataFrame:
-    """(u, v): each vector of a bucket with another and the bucket's least one."""
-
-    def enter(batches):
-        hashers: dict[int, CrossPolytope] = {}
-        for b in batches:
-            vectors, nodes = _vectors(b.column(1)), b.column(0).to_numpy()
-            nodes, at = np.unique(nodes, return_index=True)
-            by_dim: dict[int, list[int]] = {}
-            for k, i in enumerate(at.tolist()):
-                by_dim.setdefault(len(vectors[i]), []).append(k)
-            node, bucket = [], []
-            for dim, ks in by_dim.items():
-                if dim not in hashers:
-                    how = plans.get(dim) or plan(dim, rows, threshold, miss)
-                    hashers[dim] = CrossPolytope(dim, how.tables, how.functions, seed)
-                for lo in range(0, len(ks), _PIECE):
-                    some = ks[lo : lo + _PIECE]
-                    found = hashers[dim].buckets(_units([vectors[at[k]] for k in some]).astype(np.float32)).reshape(len(some), -1)
-                    found.sort(axis=1)
-                    new = np.ones(found.shape, bool)
-                    new[:, 1:] = found[:, 1:] != found[:, :-1]
-                    bucket.append(found[new])
-                    node.append(np.repeat(nodes[some], new.sum(1)))
-            if not node:
-                continue
-            node, bucket = np.concatenate(node), np.concatenate(bucket)
-            first, u, v = _tie(node, bucket)
-            dest = (bucket[first].view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            first = first[np.argsort(dest, kind="stable")]  # by bucket within a destination
-            cuts = np.searchsorted(np.sort(dest), np.arange(parts + 1))
-            out = [(p, _ENTRIES, pack_arrays(bucket[first[a:z]], node[first[a:z]])) for p, a, z in zip(range(parts), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < z]
-            if len(u):
-                out.append((int(u[0]) % parts, _EDGES, pack_arrays(u, v)))
-            for k in range(0, len(out), 256):
-                yield dict(zip(("dest", "kind", "blob"), map(list, zip(*out[k : k + 256], strict=True)), strict=True))
-
-    def meet(batches):
-        node, bucket = [], []
-        for b in batches:
-            for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x, y = unpack_arrays(blob, "i8", "i8")
-                if kind == _EDGES:
-                    yield {"u": x, "v": y}
-                else:
-                    bucket.append(x)
-                    node.append(y)
-        if node:
-            _, u, v = _tie(np.concatenate(node), np.concatenate(bucket))
-            for k in range(0, len(u), 100_000):
-                yield {"u": u[k : k + 100_000], "v": v[k : k + 100_000]}
-
-    dealt = map_arrow(keyed, enter, "dest int, kind int, blob binary").repartitionById(parts, "dest")
-    return map_arrow(dealt, meet, "u long, v long")
+def _entries(plans: dict[int, Plan], rows: int, threshold: float, miss: float, seed: int):
+    """Gives the nodes and buckets of the distinct vectors of a batch (node, vector)."""
+    hashers: dict[int, CrossPolytope] = {}
+
+    def enter(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        vectors = _vectors(batch.column(1))
+        nodes, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+        length = np.array([len(vectors[i]) for i in at])
+        node, bucket = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for dim in np.unique(length).tolist():
+            if dim not in hashers:
+                how = plans.get(dim) or plan(dim, rows, threshold, miss)
+                hashers[dim] = CrossPolytope(dim, how.tables, how.functions, seed)
+            ks = np.flatnonzero(length == dim)
+            for some in np.split(ks, range(_PIECE, len(ks), _PIECE)):
+                found = hashers[dim].buckets(_units([vectors[at[k]] for k in some]).astype(np.float32)).reshape(len(some), -1)
+                found.sort(axis=1)
+                new = np.ones(found.shape, bool)
+                new[:, 1:] = found[:, 1:] != found[:, :-1]
+                bucket.append(found[new])
+                node.append(np.repeat(nodes[some], new.sum(1)))
+        return np.concatenate(node), np.concatenate(bucket)
+
+    return enter
 
 
 def near_duplicates(
@@ -294,17 +248,27 @@ def near_duplicates(
 
     keyed = map_arrow(good, key, f"vec_id long, key binary, node long, vector {kind}")
     members = keyed.select("vec_id", "key")
-    sets = members.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    sets = keyed.groupBy("key", "node").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     sets = stage(sets.withColumn("rep", F.monotonically_increasing_id()), "vector-sets")
     n = sets.count()
-    plans = _plans(sets, good, n, threshold, miss)
-    entries = n * max((p.tables * (1 + 0.5 * p.functions) for p in plans.values()), default=1)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(entries // ENTRIES) + 1)
-    stars = _stars(keyed.select("node", "vector"), plans, n, parts, threshold, miss, seed)
-    parts_of = stage(connected_components(stars, "vector-candidates"), "vector-candidate-parts")
-    wanted = parts_of.join(parts_of.groupBy("component").agg(F.count("*").alias("size")), "component")
-    held = keyed.select("key", "node", "vector").join(wanted, "node").groupBy("key").agg(*(F.first(c).alias(c) for c in ("component", "size", "vector")))
-    placed = cells.with_cells(held.join(sets.select("key", "rep", "copies"), "key").select("rep", "component", "size", "copies", "vector"), "rep", "size", block)
+    plans = _plans(good, n, threshold, miss)
+    entries = int(n * max((p.tables * (1 + 0.5 * p.functions) for p in plans.values()), default=1))
+    found = cells.stars(keyed.select("node", "vector"), _entries(plans, n, threshold, miss, seed), entries)
+    parts = stage(connected_components(found, "vector-candidates"), "vector-candidate-parts")
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size")).select("component", cells.blocks("size", block).alias("blocks"))
+    wanted = stage(parts.join(sizes, "component").join(sets, "node").withColumn("mark", F.xxhash64("least", "node")), "vector-candidate-sets")
+    held = bit_map(wanted, "mark")
+
+    def ask(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(held, batch.column(2).to_numpy())))
+
+    asked = keyed.select("key", "vector", F.xxhash64("vec_id", "node").alias("mark"))
+    asked = asked.mapInArrow(ask, asked.schema).drop("mark")
+    # repeated rows bring one vector; partitions by key serve the join and the grouping
+    full = asked.join(wanted.select("key", "rep", "component", "blocks", "copies"), "key")
+    full = full.groupBy("key").agg(*(F.first(c).alias(c) for c in ("rep", "component", "blocks", "copies", "vector")))
+    placed = cells.with_cells(full, "rep", "blocks")
 
     def verify(cell: pa.Table):
         mine, vectors = cell.column("__mine").to_numpy(), _vectors(cell.column("vector"))
