@@ -4,21 +4,29 @@ A document is the set of its runs of five words (64-bit hashes); a shorter one i
 of all its words. Words are runs of letters and digits (every character beyond ASCII counts as
 one of them), in lower case. Documents with the same set are merged into one representative.
 
-`bands` x `rows` MinHash values: representatives that agree in all rows of a band share a bucket.
-Each bucket is a star around its least member (no pairs are listed), and the connected components
-of the stars hold all candidate pairs. Components are compared in blocked cells (cells.py), where
-the sizes of all intersections of the full sets are counted. With 40 bands of 8 rows a pair of
-similarity 0.8 is missed with probability 6e-4, one of 0.85 with 4e-6.
+`bands` x `rows` MinHash values: sets that agree in all rows of a band share a bucket. Each bucket is
+a star around its least member (no pairs are listed), and the connected components of the stars
+hold all candidate pairs. The full sets of candidates are made again from their texts, of which a
+bit map of fixed size leaves out the rest before anything is shuffled, and components are compared
+in blocked cells (cells.py), bounded by rows and by bytes, where the sizes of all intersections are
+counted.
+
+Rows are as many, and bands so many, that a pair of the threshold's similarity is missed with
+probability `miss` at most and all bands take at most HASHES values: for 0.8 and 7e-4 they are 40
+bands of 8 rows; a pair of 0.85 is then missed with 4e-6. A threshold that this cannot reach is an
+error.
 
 Defined cases: a null or empty text, or one without words, links with nothing; rows with the same
 id are separate documents with one id, of a group of them exactly one row is kept; ties go to the
 smaller id, and a null id comes after all others; an empty table gives an empty table; extra
-columns are ignored; texts of any length are used whole.
+columns are ignored; texts of any length are used whole, and a cell holds two blocks of at most
+GRAMS runs, or two texts that are longer.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import cells
-from lodestone.llm.common import connected_components, documents, map_arrow, stage
+from lodestone.llm.common import bit_map, connected_components, documents, map_arrow, marked, stage
 
 WORDS = 5
 SIMILAR = 0.8
-BANDS, ROWS = 40, 8
+#: Chance to miss a pair of the threshold's similarity, and MinHash values of a text.
+MISS, HASHES = 7e-4, 320
+#: Runs of a block of texts.
+GRAMS = 1 << 20
 _RNG = np.random.default_rng(11)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -40,6 +51,19 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def banding(threshold: float, miss: float = MISS, hashes: int = HASHES) -> tuple[int, int]:
+    """Bands and rows: as many rows as the hashes allow, so that few unlike texts meet."""
+    for rows in range(16, 0, -1):
+        together = threshold**rows
+        bands = 1 if together >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-together)))
+        if bands * rows <= hashes:
+            return bands, rows
+    raise ValueError(f"{hashes} MinHash values cannot find pairs of similarity {threshold} but for {miss}")
+
+
+BANDS, ROWS = banding(SIMILAR)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -171,13 +195,26 @@ def similar_pairs(sets: list[np.ndarray], threshold: float, side: np.ndarray | N
 
 
 def ngram_join(
-    df: DataFrame, threshold: float = SIMILAR, n: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block: int = cells.BLOCK, hashed: bool = False
+    df: DataFrame,
+    threshold: float = SIMILAR,
+    n: int = WORDS,
+    miss: float = MISS,
+    hashes: int = HASHES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block: int = cells.BLOCK,
+    grams: int = GRAMS,
+    hashed: bool = False,
 ) -> DataFrame:
     """doc_id, n_links (documents of at least the threshold), component_id (the least id reachable by
     links) and kept (its own id is that one, and of several such rows it is the first) of every row;
     with hashed also text_hash, the xxhash64 of the text."""
+    bands, rows = banding(threshold, miss, hashes)
     docs = documents(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
+    def digest(s: np.ndarray) -> bytes:
+        return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
     def signed(batches):
         hasher = BandHasher(bands, rows)
         for batch in batches:
@@ -188,46 +225,51 @@ def ngram_join(
                 found: list = [None] * len(sets)
                 for k, b in zip(some, hasher([sets[k] for k in some]) if some else (), strict=True):
                     found[k] = b
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield {"doc_id": part.column(0), "text_hash": part.column(2), "key": keys, "bands": pa.array(found, pa.list_(pa.int64()))}
+                keys = [digest(s) if len(s) else None for s in sets]
+                node = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
+                yield {"doc_id": part.column(0), "text_hash": part.column(2), "key": keys, "node": node, "grams": [len(s) for s in sets], "bands": pa.array(found, pa.list_(pa.int64()))}
 
-    signed_docs = map_arrow(docs, signed, "doc_id long, text_hash long, key binary, bands array<long>")
+    signed_docs = map_arrow(docs, signed, "doc_id long, text_hash long, key binary, node long, grams long, bands array<long>")
     signed_docs = stage(signed_docs.withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = signed_docs.where("key IS NOT NULL")
     # a set goes by the row of its least id, as a repeated id may carry several sets
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "text_hash")).alias("first")
-    reps = some.groupBy("key").agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    reps = stage(reps.select("key", F.col("first.row").alias("rep"), "first", "copies", "bands"), "sets")
-    entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    centres = entries.groupBy("bucket").agg(F.min("rep").alias("v"), F.count("*").alias("size")).where("size > 1").select("bucket", "v")
-    stars = entries.join(centres, "bucket").select(F.col("rep").alias("u"), "v")
-    parts = stage(connected_components(stars, "candidates"), "candidate-parts")
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = parts.join(sizes, "component").join(reps.select(F.col("rep").alias("node"), "copies", "key", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "node")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"]) & (docs["text_hash"] == wanted["hash"])).select("node", "component", "size", "copies", "key", "text")
+    reps = some.groupBy("key", "node", "grams").agg(first, F.count("*").alias("copies"))
+    reps = stage(reps.select("key", "node", "grams", F.col("first.row").alias("rep"), "first", "copies"), "sets")
+
+    def enter(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        node, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+        bucket = batch.column(1).flatten().to_numpy().reshape(-1, bands)[at]
+        return np.repeat(node, bands), bucket.ravel()
+
+    found = cells.stars(some.select("node", "bands"), enter, reps.count() * bands)
+    # a component goes by 64 bits of its sets' digests; equal ones of two sets would only join two components
+    parts = stage(connected_components(found, "candidates"), "candidate-parts")
+    wanted = parts.join(reps.select("node", "key", "rep", "copies", "grams", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "node")
+    wanted = stage(wanted, "candidate-sets")
+    split = F.greatest(cells.blocks("size", block), F.ceil(F.col("runs") / F.lit(grams))).alias("blocks")
+    sizes = wanted.groupBy("component").agg(F.count("*").alias("size"), F.sum("grams").alias("runs")).select("component", split)
+    wanted = wanted.join(sizes, "component").select("component", "blocks", "rep", "copies", "key", F.xxhash64("id", "hash").alias("mark"))
+    held = bit_map(wanted, "mark")
 
     def sets_of(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                sets = shingle_sets(part.column(5).to_pylist(), n)
-                keep = [k for k, (s, key) in enumerate(zip(sets, part.column(4).to_pylist(), strict=True)) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == key]
-                taken = part.take(pa.array(keep, pa.int64()))
-                yield {"rep": taken.column(0), "component": taken.column(1), "size": taken.column(2), "copies": taken.column(3), "members": [sets[k].tobytes() for k in keep]}
+            part = batch.filter(pa.array(marked(held, batch.column(1).to_numpy())))
+            for at in range(0, len(part), 256):
+                sets = shingle_sets(part.slice(at, 256).column(0).to_pylist(), n)
+                yield {"key": [digest(s) for s in sets], "members": [s.tobytes() for s in sets]}
 
-    full = map_arrow(texts, sets_of, "rep long, component long, size long, copies long, members binary")
-    placed = cells.with_cells(full, "rep", "size", block)
+    full = map_arrow(docs.select("text", F.xxhash64("doc_id", "text_hash").alias("mark")), sets_of, "key binary, members binary")
+    # repeated rows of one id and text bring one set; partitions by key serve the join and the grouping
+    full = full.join(wanted, "key").groupBy("key").agg(*(F.first(c).alias(c) for c in ("rep", "component", "blocks", "copies", "members")))
+    placed = cells.with_cells(full, "rep", "blocks")
 
     def verify(cell: pa.Table):
         ids = cell.column("rep").to_numpy()
-        at = np.unique(ids, return_index=True)[1]  # equal rows of one id all have the text
-        ids = ids[at]
-        if len(ids) < 2:
-            return None
-        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in cell.column("members").take(pa.array(at))]
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in cell.column("members")]
         across = cell.column(1)[0].as_py() != cell.column(2)[0].as_py()
-        i, j = similar_pairs(sets, threshold, cell.column("__mine").to_numpy()[at] if across else None)
-        return cells.linked_rows(ids, cell.column("copies").to_numpy()[at], i, j)
+        i, j = similar_pairs(sets, threshold, cell.column("__mine").to_numpy() if across else None)
+        return cells.linked_rows(ids, cell.column("copies").to_numpy(), i, j)
 
     linked = cells.compare(placed, ["component", "__i", "__j"], ["__mine", "rep", "copies", "members"], verify, "ngram-links")
     # classes by the sets' rows: of each set its links and the row that its component goes by
