@@ -17,14 +17,17 @@ Suffixes of a corpus do not fit one array, so they are dealt out such that equal
    but the earliest are covered.
 4. An anchor with very many segments (a passage that a third of all documents hold) is split:
    its segments are cut into single strings, dealt by their own hash and merged within a unit
-   first, so that no task gets more than one of each unit.
+   first, so that no task gets more than one of each unit. It is split if one unit holds more than
+   `split_from` different ones, or all units together more than `split_total`.
 
+Tasks are as many as the session's shuffle partitions, or more: one for PART_BYTES of text.
 Removals of a unit are joined back to it. Nothing is sampled, capped or collected to the driver.
 
-Defined cases: a null or empty text, and any of fewer than `length` bytes, stays whole; matches
-never cross documents; rows with the same id are separate documents, in the order of their
-position; those without an id come after all others; self-overlapping repeats count; an empty table gives an empty table; extra columns are
-ignored.
+Defined cases: a null or empty text, and any of fewer than `length` bytes, stays whole; texts of any
+length are units of their own and scanned in pieces; matches never cross documents; rows with the
+same id are separate documents, in the order of their position; those without an id come after all
+others; self-overlapping repeats count; an empty table gives an empty table; extra columns are
+ignored unless they are named in `carry`.
 """
 
 from __future__ import annotations
@@ -37,14 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, map_arrow, pack_arrays, stage, unpack_arrays
+from lodestone.llm.common import map_arrow, pack_arrays, stage, unpack_arrays
 
 #: Length of the strings, of the anchor word inside, and bytes of a unit.
 LENGTH, WORD, UNIT_BYTES = 100, 32, 4 << 20
 #: Bytes whose suffixes are sorted at once; a task sorts its anchors in so many parts.
 SORTED_BYTES = 1 << 20
-#: Different segments of an anchor in one unit from which on it is split into strings.
-SPLIT_FROM = 16
+#: Different segments of an anchor in one unit, and in all units, above which it is split into strings.
+SPLIT_FROM, SPLIT_TOTAL = 16, 4096
+#: Text bytes of a task.
+PART_BYTES = 64 << 20
 _CHUNK = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 COVER, FETCH, ANCHORS, BYTES = 0, 1, 2, 3
@@ -64,21 +69,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Unit:
     """Some documents, ordered by id, as one buffer; the last `none` of them have no id and count as NO_ID."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: bytes, none: int = 0):
-        self.ids, self.sizes, self.data, self.none = ids, sizes, data, none
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: bytes, none: int = 0, carried: list[bytes] | None = None):
+        self.ids, self.sizes, self.data, self.none, self.carried = ids, sizes, data, none, carried or []
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
 
     @staticmethod
-    def of(docs: list[tuple[int | None, bytes]]) -> Unit:
+    def of(docs: list[tuple[int | None, bytes, bytes]]) -> Unit:
         docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
         ids = np.array([NO_ID if d[0] is None else d[0] for d in docs], np.int64)
-        return Unit(ids, np.array([len(d[1]) for d in docs], np.int64), b"".join(d[1] for d in docs), sum(d[0] is None for d in docs))
+        return Unit(ids, np.array([len(d[1]) for d in docs], np.int64), b"".join(d[1] for d in docs), sum(d[0] is None for d in docs), [d[2] for d in docs])
 
     def packed(self) -> bytes:
         import zstandard
 
-        return struct.pack("<II", len(self.ids), self.none) + zstandard.ZstdCompressor(level=3).compress(self.ids.tobytes() + self.sizes.tobytes() + self.data)
+        beside = np.array([len(c) for c in self.carried], np.int64).tobytes()
+        body = b"".join([self.ids.tobytes(), self.sizes.tobytes(), beside, *self.carried, self.data])
+        return struct.pack("<II", len(self.ids), self.none) + zstandard.ZstdCompressor(level=3).compress(body)
 
     @staticmethod
     def unpacked(blob: bytes) -> Unit:
@@ -86,7 +93,9 @@ class Unit:
 
         n, none = struct.unpack("<II", blob[:8])
         raw = zstandard.ZstdDecompressor().decompress(blob[8:])
-        return Unit(np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), raw[16 * n :], none)
+        ends = 24 * n + np.cumsum(np.frombuffer(raw, np.int64, n, 16 * n))
+        carried = [raw[a:b] for a, b in zip([24 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return Unit(np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int64, n, 8 * n), raw[int(ends[-1]) :], none, carried)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return self.ids[np.searchsorted(self.ends, at, side="right")]
@@ -290,9 +299,9 @@ def _unit_rows(docs: DataFrame, unit_bytes: int) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for doc, text, beside in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
-                    held.append((doc, raw))
+                    held.append((doc, raw, beside or b""))
                     size += len(raw)
                     if size >= unit_bytes:
                         yield {"unit": [base + count], "blob": [Unit.of(held).packed()]}
@@ -356,7 +365,7 @@ def _by_unit(unit: np.ndarray, kind: int, fn) -> list[tuple]:
     return [(0, int(unit[order[a]]), kind, fn(order[a:b])) for a, b in zip(g.tolist(), ends.tolist(), strict=True)]
 
 
-def _merge(moved: DataFrame, length: int) -> DataFrame:
+def _merge(moved: DataFrame, length: int, split_total: int) -> DataFrame:
     """Per anchor: covers all but the earliest of equal segments; asks for the bytes of different ones."""
 
     def run(batches):
@@ -385,6 +394,7 @@ def _merge(moved: DataFrame, length: int) -> DataFrame:
         new[1:] = (back[order[1:]] != back[order[:-1]]) | (seg[order[1:]] != seg[order[:-1]])
         first, later = order[new], order[~new]
         different = np.bincount(back[first], minlength=len(count))
+        split |= different > split_total
         ask = first[(different[back[first]] > 1) | split[back[first]]]
         out = _by_unit(unit[later], COVER, lambda k: cover(lo[later[k]], run_[later[k]].astype(np.int64) + length))
         out += _by_unit(unit[ask], FETCH, lambda k: pack_arrays(lo[ask[k]], run_[ask[k]], split[back[ask[k]]].astype(np.uint8), anchor[ask[k]]))
@@ -518,7 +528,7 @@ def _cut(joined: DataFrame, as_text: bool) -> DataFrame:
                     np.add.at(gone, at + size, -1)
                 gone = np.cumsum(gone)[:-1] > 0
                 data = np.frombuffer(unit.data, np.uint8)
-                rows = {"doc_id": [], "n_bytes": [], "starts": [], "ends": [], "kept": []}
+                rows = {"doc_id": [], "n_bytes": [], "starts": [], "ends": [], "kept": [], "carried": unit.carried}
                 ids = unit.ids.tolist()[: len(unit.ids) - unit.none] + [None] * unit.none
                 for doc, lo, hi in zip(ids, unit.starts.tolist(), unit.ends.tolist(), strict=True):
                     mask = gone[lo:hi]
@@ -541,21 +551,32 @@ def _cut(joined: DataFrame, as_text: bool) -> DataFrame:
                     part |= {n: pa.array(part[n], pa.list_(pa.int64())) for n in ("starts", "ends")}
                     yield part
 
-    return map_arrow(joined, run, f"doc_id long, n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}")
+    return map_arrow(joined, run, f"doc_id long, n_bytes long, starts array<long>, ends array<long>, kept {'string' if as_text else 'binary'}, carried binary")
 
 
 def remove_repeats(
-    df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = UNIT_BYTES, split_from: int = SPLIT_FROM, as_text: bool = False
+    df: DataFrame,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    unit_bytes: int = UNIT_BYTES,
+    split_from: int = SPLIT_FROM,
+    split_total: int = SPLIT_TOTAL,
+    as_text: bool = False,
+    carry: F.Column | None = None,
 ) -> DataFrame:
     """doc_id, n_bytes, the removed byte runs (starts, ends) and what is kept of every row.
 
-    kept holds bytes, or with as_text a string; then characters that a run cuts are kept whole."""
+    kept holds bytes, or with as_text a string; then characters that a run cuts are kept whole.
+    carried holds the row's value of the binary column carry (empty without it)."""
     if not 64 <= length <= 128:
         raise ValueError("length must be 64 to 128 bytes")
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    units = stage(_unit_rows(documents(df, id_col, text_col), unit_bytes), "units")
-    merged = stage(_merge(_deal(_anchors(units, parts, length, split_from), parts), length), "segments")
+    source = df if carry is None else df.withColumn("__carry", carry)
+    rows = source.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), (F.lit(None).cast("binary") if carry is None else F.col("__carry")).alias("carry"))
+    units = stage(_unit_rows(rows, unit_bytes), "units")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() * unit_bytes // PART_BYTES)
+    merged = stage(_merge(_deal(_anchors(units, parts, length, split_from), parts), length, split_total), "segments")
     asked = merged.where(F.col("kind") == FETCH).groupBy("unit").agg(F.collect_list("blob").alias("asks"))
     moved = _fetch(units.join(asked, "unit").select("unit", "blob", "asks"), parts, length)
     covers = merged.where(F.col("kind") == COVER).unionByName(_suffix_stage(_deal(moved, parts), length))

@@ -182,7 +182,7 @@ def repeat_docs(seed=4):
     return docs + [(200, "a" * 500), (201, "ab" * 300), (202, None), (203, ""), (204, "a" * 99), (205, "a" * 100), (206, "x" * 30 + "a" * 101), (207, "\0" * 300), (208, docs[7][1])]
 
 
-@pytest.mark.parametrize(("options", "sort_bytes"), [({"unit_bytes": 3000}, 1 << 20), ({"unit_bytes": 3000, "split_from": 1}, 2000), ({}, 1 << 20)])
+@pytest.mark.parametrize(("options", "sort_bytes"), [({"unit_bytes": 3000, "split_total": 1}, 3000), ({"unit_bytes": 300, "split_from": 9, "split_total": 4}, 1 << 20), ({"unit_bytes": 3000}, 1 << 20), ({"unit_bytes": 3000, "split_from": 1}, 2000), ({}, 1 << 20)])
 def test_repeats_equal_brute_force(spark, options, sort_bytes, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", sort_bytes)
     docs = repeat_docs()
