@@ -6,8 +6,15 @@ repeats        passages that stand earlier in the corpus are cut out of the text
 packing        texts become token windows; the result is one row for each piece
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. A document that loses its whole text in `repeats` stays as an empty one. Cuts
-leave whole characters.
+of documents, extra ones of any name included. A document that loses its whole text in `repeats`
+stays as an empty one. Cuts leave whole characters.
+
+Defined cases: a null text counts as empty, and is one after `repeats`; a row without an id is a
+document that comes after all others; rows of one id are documents of their own, of which
+`near_copies` keeps one for each group of like texts (rows without words are like nothing and all
+stay); without labels, or of one kind alone, every score is their rate (0.5 if there are none, which
+is below the limit: no document stays); an empty table gives no pieces; texts of any length go
+through whole.
 """
 
 from __future__ import annotations
@@ -42,10 +49,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(docs, as_text=True).select("doc_id", F.col("kept").alias("text"))
-    rest = docs.drop("text", "n_chars").dropDuplicates(["doc_id"])
-    rest = rest.withColumnRenamed("doc_id", "__id")
-    return cut.join(rest, cut["doc_id"].eqNullSafe(rest["__id"])).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    beside = F.encode(F.to_json(F.struct(*(F.col(f"`{c}`") for c in others)), {"ignoreNullFields": "false"}), "utf-8") if others else None
+    cut = suffix_dedup.remove_repeats(docs, as_text=True, carry=beside)
+    found = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    if others:
+        cut = cut.withColumn("__beside", F.from_json(F.decode("carried", "utf-8"), docs.select(*(F.col(f"`{c}`") for c in others)).schema))
+    return cut.select(*((found[c] if c in found else F.col("__beside").getField(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,8 +126,8 @@ METHODS = {
     "inverted_cdf": 1, "averaged_inverted_cdf": 2, "closest_observation": 3, "interpolated_inverted_cdf": 4, "hazen": 5,
     "weibull": 6, "linear": 7, "median_unbiased": 8, "normal_unbiased": 9,
 }
-#: Buckets that the values are dealt into before they are sorted.
-BUCKETS, STEP = 200, 14
+#: Quantiles are first bracketed by a summary of this accuracy; a bracket spans SPAN of the rows on either side.
+ACCURACY, SPAN = 50_000, 1e-4
 
 
 def _places(n: F.Column, q: F.Column, kind: F.Column) -> tuple[F.Column, F.Column, F.Column]:
@@ -146,8 +146,10 @@ def _places(n: F.Column, q: F.Column, kind: F.Column) -> tuple[F.Column, F.Colum
 def quantile(df: DataFrame, columns: list[str], q: float | list[float], method: str | int | list = "linear", axis: str = "col", group_by: tuple = (), allow_null: bool = False) -> DataFrame:
     """Exact quantiles by any of the nine Hyndman-Fan definitions: (*group_by, column, q, value); several methods add a column method.
 
-    Equal values are merged; the rest is dealt into buckets at approximate quantiles, and only
-    the buckets that hold a wanted place are sorted. axis 'row' adds a column for each q."""
+    A summary of the values brackets every wanted place; one pass counts what lies below and inside
+    each bracket, and only the values inside (some SPAN of all) are ranked, merged where they are
+    equal. Should a bracket miss its place, which the summary's bound rules out, the query fails.
+    axis 'row' adds a column for each q."""
     kinds = [METHODS.get(m, m) if isinstance(m, str) else m for m in (method if isinstance(method, (list, tuple)) else [method])]
     if any(k not in range(1, 10) for k in kinds):
         raise ValueError(f"method must be 1 to 9 or one of {', '.join(METHODS)}")
@@ -166,28 +168,34 @@ def quantile(df: DataFrame, columns: list[str], q: float | list[float], method:
         df, columns = _long(df, columns, group_by, allow_null), ["value"]
     key = [*group_by, "column"]
     long = df.select(*group_by, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), strict(c, allow_null).alias("x")) for c in columns))).alias("e"))
-    merged = stage(long.select(*group_by, "e.*").where("x IS NOT NULL").groupBy(*key, "x").agg(F.count("*").alias("n")), "values")
-    cuts = merged.groupBy(*key).agg(F.percentile_approx("x", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"), F.sum("n").alias("size"))
-    # the cuts below x, counted first among every STEP-th of them and then among the next STEP
-    coarse = F.transform(F.sequence(F.lit(STEP), F.lit(BUCKETS - 1), F.lit(STEP)), lambda i: F.element_at("cuts", i))
-    below = lambda a: F.size(F.filter(a, lambda b: b < F.col("x")))
-    dealt = merged.join(cuts.withColumn("coarse", coarse), key).withColumn("k", below("coarse") * STEP)
-    dealt = dealt.withColumn("bucket", F.col("k") + below(F.slice("cuts", F.col("k") + 1, F.lit(STEP)))).drop("cuts", "coarse", "k")
-    sizes = dealt.groupBy(*key, "bucket").agg(F.sum("n").alias("inside"), F.first("size").alias("size"))
-    before = F.coalesce(F.sum("inside").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("before", before)  # at most BUCKETS rows of a column
-    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("method"), F.lit(x).alias("q")) for k in kinds for x in wanted)))
-    totals = sizes.groupBy(*key).agg(F.first("size").cast("double").alias("size")).withColumn("a", asked).select(*key, "size", "a.*")
+    long = long.select(*group_by, "e.*").where("x IS NOT NULL")
+    qs = sorted(set(wanted))
+    ends = [min(1.0, max(0.0, x + d)) for x in qs for d in (-SPAN, SPAN)]
+    cuts = long.groupBy(*key).agg(F.percentile_approx("x", ends, ACCURACY).alias("cuts"), F.count("*").alias("size"), F.min("x").alias("least"), F.max("x").alias("most"))
+    # the place of a quantile lies at most two ranks from q * size, whatever the method: the ends reach to the extremes of small groups
+    few = F.col("size") * F.lit(SPAN) < 8
+    low = [F.when(few | F.lit(x <= SPAN), F.col("least")).otherwise(F.element_at("cuts", 2 * i + 1)).alias(f"l{i}") for i, x in enumerate(qs)]
+    high = [F.when(few | F.lit(x >= 1 - SPAN), F.col("most")).otherwise(F.element_at("cuts", 2 * i + 2)).alias(f"h{i}") for i, x in enumerate(qs)]
+    cuts = stage(cuts.select(*key, "size", *low, *high), "brackets")  # one row for each group
+    both = long.join(cuts, key)
+    x = F.col("x")
+    below = [F.count(F.when(x < F.col(f"l{i}"), 1)).alias(f"b{i}") for i in range(len(qs))]
+    counts = both.groupBy(*key).agg(F.first("size").alias("size"), *below)
+    held = F.array(*(F.when((x >= F.col(f"l{i}")) & (x <= F.col(f"h{i}")), F.lit(i)) for i in range(len(qs))))
+    inside = both.select(*key, "x", F.explode(F.array_compact(held)).alias("at")).groupBy(*key, "at", "x").agg(F.count("*").alias("n"))
+    asked = F.explode(F.array(*(F.struct(F.lit(k).alias("method"), F.lit(v).alias("q"), F.lit(qs.index(v)).alias("at"), F.col(f"b{qs.index(v)}").alias("below")) for k in kinds for v in wanted)))
+    totals = counts.withColumn("size", F.col("size").cast("double")).withColumn("a", asked).select(*key, "size", "a.*")
     low, high, w = _places(F.col("size"), F.col("q"), F.col("method"))
-    totals = stage(totals.withColumns({"low": low, "high": high, "w": w}), "places")  # methods times q rows a column
-    both = F.explode(F.array(*(F.struct("method", "q", F.col(p).alias("place"), u.alias("w")) for p, u in (("low", F.lit(1.0) - F.col("w")), ("high", F.col("w"))))))
-    hits = sizes.drop("size").join(totals.select(*key, both.alias("p")), key).where((F.col("p.place") >= F.col("before")) & (F.col("p.place") < F.col("before") + F.col("inside")))
-    hits = hits.groupBy(*key, "bucket", "before").agg(F.collect_list("p").alias("ps"))  # a row for each bucket that is wanted
-    inside = Window.partitionBy(*key, "bucket").orderBy("x")
-    ranked = dealt.join(hits, [*key, "bucket"]).withColumn("upto", F.sum("n").over(inside) + F.col("before"))
+    totals = totals.withColumns({"low": low, "high": high, "w": w})  # methods times q rows a group
+    both = F.explode(F.array(*(F.struct("method", "q", (F.col(p) - F.col("below")).alias("place"), u.alias("w")) for p, u in (("low", F.lit(1.0) - F.col("w")), ("high", F.col("w"))))))
+    hits = totals.select(*key, "at", both.alias("p")).groupBy(*key, "at").agg(F.collect_list("p").alias("ps"))  # a row for each bracket
+    upto = F.sum("n").over(Window.partitionBy(*key, "at").orderBy("x"))
+    ranked = inside.withColumn("upto", upto).join(hits, [*key, "at"])
     here = F.filter("ps", lambda p: (p["place"] >= F.col("upto") - F.col("n")) & (p["place"] < F.col("upto")))
     found = ranked.select(*key, "x", F.explode(here).alias("p")).select(*key, "x", "p.*")
-    value = F.sum(F.when(F.col("w") == 0, F.lit(0.0)).otherwise(F.col("w") * F.col("x"))).alias("value")
+    # both ends of every interpolation must have been found
+    sure = F.when(F.abs(F.sum("w") - 1) < 1e-9, True).otherwise(F.raise_error(F.lit("a bracket missed its quantile")).cast("boolean"))
+    value = F.when(sure, F.sum(F.when(F.col("w") == 0, F.lit(0.0)).otherwise(F.col("w") * F.col("x")))).alias("value")
     if isinstance(method, (list, tuple)):
         return found.groupBy("method", *key, "q").agg(value)
     return found.groupBy(*key, "q").agg(value)
