@@ -12,7 +12,7 @@ not its own candidate (same id). Ties go to the smaller id.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, take no
 part; a query with fewer than k candidates gets all; rows with the same id are each candidates of
-other queries; rows without an id take no part (neither could be named in the result); an empty
+other queries, and as query rows are queries of their own with k results each; rows without an id take no part (neither could be named in the result); an empty
 table gives an empty table; extra columns are ignored.
 """
 
@@ -99,11 +99,12 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str =
     Both tables hold an id and an array of integers without nulls."""
     pick = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<long>").alias("vector"))
     rows, asked = (pick(df).where("id IS NOT NULL") for df in (candidates, queries))
+    asked = asked.withColumn("query", F.monotonically_increasing_id())  # a repeated id is a query of its own
     blocks, q_blocks = (max(1, -(-df.count() // size)) for df, size in ((rows, candidate_block), (asked, query_block)))
     deal = lambda own, n, other, m: (F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other))
-    columns = ("dim", "c", "q", "asks", "id", "vector")
-    left = rows.select("id", "vector", F.size("vector").cast("long").alias("dim"), *deal("c", blocks, "q", q_blocks)).withColumn("asks", F.lit(False)).select(*columns)
-    right = asked.select("id", "vector", F.size("vector").cast("long").alias("dim"), *deal("q", q_blocks, "c", blocks)).withColumn("asks", F.lit(True)).select(*columns)
+    columns = ("dim", "c", "q", "asks", "id", "vector", "query")
+    left = rows.select("id", "vector", F.size("vector").cast("long").alias("dim"), *deal("c", blocks, "q", q_blocks)).withColumn("asks", F.lit(False)).withColumn("query", F.lit(None).cast("long")).select(*columns)
+    right = asked.select("id", "vector", "query", F.size("vector").cast("long").alias("dim"), *deal("q", q_blocks, "c", blocks)).withColumn("asks", F.lit(True)).select(*columns)
     dealt = left.union(right).repartition("dim", "c", "q").sortWithinPartitions("dim", "c", "q", "asks", "id")
 
     def run(batches):
@@ -116,8 +117,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str =
             x = cell.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim).astype(float)
             q, c, s = threshold_search(x[~asks], ids[~asks], x[asks], ids[asks], k)
             if len(q):
-                yield {"query_id": ids[asks][q], "vec_id": ids[~asks][c], "score": s}
+                which = cell.column("query").to_numpy()[asks].astype(np.int64)
+                yield {"query": which[q], "query_id": ids[asks][q], "vec_id": ids[~asks][c], "score": s}
 
-    found = map_arrow(dealt, run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = map_arrow(dealt, run, "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

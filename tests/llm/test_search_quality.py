@@ -246,3 +246,9 @@ def test_ties_of_large_scores_go_to_the_smaller_id():
     x[::3] -= 1
     q, c, s = topk_search.threshold_search(x, np.arange(8192), np.array([[2.0**23, 2.0**23]]), np.array([-1]), 20)
     assert sorted(c) == [i for i in range(40) if i % 3][:20] and set(s) == {2**46}
+
+
+def test_repeated_queries_have_results_of_their_own(spark):
+    df = spark.createDataFrame([(1, [1, 0]), (1, [1, 0]), (1, [0, 1]), (2, [3, 1]), (3, [2, 5]), (4, [0, 0])], "vec_id long, vector array<long>")
+    got = [tuple(r) for r in topk_search.top_k(df, df.where("vec_id = 1"), k=2).collect()]
+    assert sorted(got) == sorted(2 * [(1, 1, 2, 3), (1, 2, 3, 2)] + [(1, 1, 3, 5), (1, 2, 2, 1)])
