@@ -1,12 +1,14 @@
 """Token counts of a byte-fallback BPE vocabulary by rank-synchronous array merging.
 
-Pre-tokens of a batch are one ragged numpy array of symbols. In each round every pre-token
-finds its pair of lowest rank, and all these pairs are merged at once; the symbols that
-survive are the tokens.
+Pre-tokens of a batch are one ragged numpy array of symbols. They are cut wherever two characters
+meet that stand side by side in no piece, as no merge can join them: long unbroken strings fall
+into short sequences. In each round every sequence finds its pair of lowest rank, and all these
+pairs are merged at once; the symbols that survive are the tokens.
 
 Merging every occurrence of the same pair in one round is the sequential result unless a
 merge could open a pair of lower rank than its own. Such pieces are listed when the table is
-built; of these only the leftmost occurrence is merged in a round.
+built; of these only the leftmost occurrence is merged in a round. What is still long after ROUNDS
+rounds (as one word repeated without spaces for pages) is finished pair by pair from a heap.
 
 Defined cases: a null or empty text has 0 tokens and 0 bytes; repeated rows are counted each;
 characters outside the vocabulary count as their UTF-8 bytes; control strings inside a text
@@ -16,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import heapq
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +30,8 @@ from lodestone.llm.pieces import Vocabulary
 #: Distinct words a worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 400_000
 FREE = np.iinfo(np.int64).max
+#: After so many rounds, sequences of more than LONG symbols are finished from a heap.
+ROUNDS, LONG = 64, 256
 
 
 class MergeTable:
@@ -34,6 +39,7 @@ class MergeTable:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = v = vocabulary
+        self.merge: dict[int, tuple[int, int]] = {}
         order = sorted(v.normal.values(), key=lambda i: (-v.scores[i], i))
         rank = {i: r for r, i in enumerate(order)}
         self.single = {p: i for p, i in v.normal.items() if len(p) == 1}
@@ -46,6 +52,8 @@ class MergeTable:
                     keys.append(a << 32 | b)
                     merged.append(i)
                     unsafe |= {x for x in (a, b) if len(v.pieces[x]) > 1 and rank[x] > rank[i]}
+        beside = {self.single[p[k]] << 32 | self.single[p[k + 1]] for p in v.normal for k in range(len(p) - 1) if p[k] in self.single and p[k + 1] in self.single}
+        self.beside = np.array(sorted(beside), np.int64)
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int64)[order]
         self.rank = np.full(len(v.pieces) + 1, FREE >> 32, np.int64)
@@ -61,6 +69,32 @@ class MergeTable:
         found = (self.keys[at] == key) & (a >= 0) & (b >= 0)
         return np.where(found, self.rank[self.merged[at]] << 32 | self.merged[at], FREE)
 
+    def finish(self, symbols: list[int]) -> int:
+        """Surviving symbols of one sequence: always the pair of lowest rank, of equal ones the leftmost, is merged."""
+        if not self.merge:
+            self.merge.update(zip(self.keys.tolist(), zip(self.rank[self.merged].tolist(), self.merged.tolist(), strict=True), strict=True))
+        n = len(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*m, i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if (m := self.merge.get(a << 32 | b))]
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            _, merged, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = merged, -2
+            left -= 1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if m := self.merge.get(merged << 32 | symbols[k]):
+                    heapq.heappush(heap, (*m, i, merged, symbols[k]))
+            h = before[i]
+            if h >= 0 and (m := self.merge.get(symbols[h] << 32 | merged)):
+                heapq.heappush(heap, (*m, h, symbols[h], merged))
+        return left
+
     def counts(self, words: list[str]) -> np.ndarray:
         """Surviving symbols of each word; a symbol outside the vocabulary counts as its bytes."""
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -69,8 +103,16 @@ class MergeTable:
         width = np.array([len(chr(c).encode("utf-8", "surrogatepass")) for c in known], np.int64)
         sym, extra = ids[back], np.where(ids < 0, width - 1, 0)[back]
         length = np.fromiter(map(len, words), np.int64, len(words))
-        owner = np.repeat(np.arange(len(words)), length)
-        out = np.bincount(owner, weights=extra, minlength=len(words)).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), length)
+        total = np.bincount(word, weights=extra, minlength=len(words)).astype(np.int64)
+        if not len(sym):
+            return total
+        key = sym[:-1] << 32 | sym[1:]
+        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+        apart = (word[1:] != word[:-1]) | (self.beside[at] != key) | (sym[:-1] < 0) | (sym[1:] < 0)
+        heads = np.flatnonzero(np.concatenate(([True], apart)))
+        owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(sym))))
+        out = np.zeros(len(heads), np.int64)
 
         def paired(s, o):
             p = np.full(len(s), FREE)
@@ -79,12 +121,18 @@ class MergeTable:
             return p
 
         rank = paired(sym, owner)
+        rounds = 0
         while len(sym):
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             least = np.minimum.reduceat(rank, starts)
             live = least < FREE
             sizes = np.diff(np.append(starts, len(sym)))
-            if not live.all():  # finished words leave
+            rounds += 1
+            if rounds > ROUNDS:
+                for k in np.flatnonzero(live & (sizes > LONG)).tolist():
+                    out[owner[starts[k]]] += self.finish(sym[starts[k] : starts[k] + sizes[k]].tolist()) - sizes[k]
+                    live[k] = False
+            if not live.all():  # finished sequences leave
                 out[owner[starts[~live]]] += sizes[~live]
                 keep = np.repeat(live, sizes)
                 sym, owner, rank = sym[keep], owner[keep], rank[keep]
@@ -113,7 +161,7 @@ class MergeTable:
             rank[touched] = FREE
             same = inner[owner[inner] == owner[inner + 1]]
             rank[same] = self.pair(sym[same], sym[same + 1])
-        return out
+        return total + np.bincount(word[heads], weights=out, minlength=len(words)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
