@@ -1,7 +1,10 @@
 """WARC archives of web pages and a two-level capture index over them.
 
 Writing: each task streams its pages into archives of one gzip member a record. Of records with
-equal payloads the one of the largest page_id is the response; the others are revisits of it.
+equal payloads the one of the largest page_id is the response; the others are revisits of it. Only
+digests are shuffled to find payloads that occur more than once. A bit map of fixed size marks their
+digests: pages that it does not know are written where they are read, the others (copies, and a few
+strangers) are staged and joined with the response of their digest.
 
 Index: the captures are sorted by key (reversed host, then path) and page_id into range shards. A
 shard file is a run of compressed blocks followed by a sparse directory with the first key and
@@ -13,8 +16,10 @@ unique to a task attempt and only names that a finished task returned are used,
 repeated tasks do no harm (what they left is not listed).
 
 Defined cases: null html is an empty payload; a null url is empty; line ends in a url are
-percent-encoded; a null page_id comes before all others and is read back as null; rows with the same page_id and url are separate captures, read back as often as
-they were written; an empty table gives no archives; extra columns are ignored; a page that
+percent-encoded; a null page_id comes before all others and is read back as null; rows with the same
+page_id and url are separate captures, read back as often as they were written; of several records
+of the largest page_id, or of none with an id, exactly one is the response (a revisit of a response
+without an id refers to null); payloads of any length are written whole, a record at a time; an empty table gives no archives; extra columns are ignored; a page that
 the index does not hold has no record, and is an error where all are said to be held.
 """
 
@@ -32,10 +37,11 @@ import zlib
 from collections import OrderedDict
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_arrow, shared_dir, stage
+from lodestone.llm.common import bit_map, map_arrow, marked, shared_dir, stage
 
 #: An archive is closed beyond so many bytes.
 ARCHIVE_BYTES = 1 << 28
@@ -77,11 +83,12 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str, revisit: bool | None = None) -> bytes:
     """One record: a response with its payload, or a revisit with the payload's HTTP header."""
+    revisit = refers_to is not None if revisit is None else revisit
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(page_id)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {re.sub('[\r\n]', lambda m: f'%{ord(m[0]):02X}', url)}",
@@ -89,7 +96,7 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
         f"Page-Id: {page_id}",
     ]
     body = _HTTP % len(payload)
-    if refers_to is None:
+    if not revisit:
         body += payload
     else:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"Refers-To-Page-Id: {refers_to}"]
@@ -111,17 +118,30 @@ def parse(raw: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload and refers_to (null for a response).
-
-    The largest page_id of each digest is aggregated before the shuffle; the join back is a plain
-    one, whose large partitions the adaptive planner splits."""
+    """page_id, url, payload, revisit and refers_to of each record."""
     rows = pages.select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
-    kept = rows.groupBy("sha").agg(F.max("page_id").alias("response_id"))
-    return rows.join(kept, "sha").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id")).alias("refers_to"))
+    ).withColumn("sha", F.unhex(F.sha1("payload")))
+    rows = rows.withColumn("mark", F.xxhash64("sha"))
+    often = rows.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("sha").alias("mark"))
+    held = bit_map(often, "mark")
+
+    def of(known: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                hit = marked(held, batch.column(4).to_numpy())
+                yield batch.filter(pa.array(hit if known else ~hit))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    copies = stage(of(True).withColumn("row", F.monotonically_increasing_id()), "payload-copies")
+    last = F.max(F.struct(F.col("page_id").isNotNull().alias("some"), "page_id", "row"))
+    keepers = copies.groupBy("sha").agg(last.alias("last")).select("sha", F.col("last.row").alias("kept"), F.col("last.page_id").alias("response_id"))
+    revisit = F.col("row") != F.col("kept")
+    copies = copies.join(stage(keepers, "responses"), "sha").select("page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("response_id")).alias("refers_to"))
+    return of(False).select("page_id", "url", "payload", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to")).union(copies)
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -134,13 +154,13 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 rows = {k: [] for k in ("url_key", "page_id", "file", "offset", "length")}
-                for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
+                for page_id, url, payload, revisit, refers_to in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns), strict=True):
                     if out is None or at > ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
-                    member = gzip.compress(record(page_id, url, payload, refers_to, date), 6, mtime=0)
+                    member = gzip.compress(record(page_id, url, payload, refers_to, date, revisit), 6, mtime=0)
                     out.write(member)
                     for k, v in zip(rows, (url_key(url), page_id, name, at, len(member)), strict=True):
                         rows[k].append(v)
@@ -295,7 +315,7 @@ def read_back(requests: DataFrame, index: CaptureIndex, all_held: bool = False)
                     if r["warc-type"] == "response" and (digest(r["payload"]) != named or len(r["payload"]) != r["payload-length"]):
                         raise ValueError(f"{file} at {offset}: the payload is damaged")
                     to = r.get("refers-to-page-id")
-                    rows.append((None if r["page-id"] == "None" else int(r["page-id"]), r["payload-length"], named, r["warc-type"], int(to) if to else None, r["warc-target-uri"], r["payload"]))
+                    rows.append((None if r["page-id"] == "None" else int(r["page-id"]), r["payload-length"], named, r["warc-type"], None if to in (None, "None") else int(to), r["warc-target-uri"], r["payload"]))
                 if rows:
                     yield dict(zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"), map(list, zip(*rows, strict=True)), strict=True))
 

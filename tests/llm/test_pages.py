@@ -321,3 +321,14 @@ def test_malformed_pages_take_linear_time(part):
     began = time.process_time()
     html_text.main_text(page)
     assert time.process_time() - began < 15  # a second or two; quadratic rules took hours
+
+
+def test_one_response_of_repeated_rows(spark, tmp_path):
+    """Repeated ids, rows without any id, and a payload that most pages have."""
+    rows = [(9, "http://a/", "v"), (9, "http://a/", "v"), (9, "http://b/", "v"), (2, "http://c/", "v"), (None, "u", "w"), (None, "u", "w"), (4, "x", "own"), (5, "y", None), (6, "z", "")]
+    rows += [(100 + i, "http://hot/", "hot" * 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.read_back(df, warc.archive(df, f"file://{tmp_path}"), all_held=True).collect()]
+    want = [(9, "response", None), (9, "revisit", 9), (9, "revisit", 9), (2, "revisit", 9), (None, "response", None), (None, "revisit", None), (4, "response", None), (5, "revisit", 6), (6, "response", None)]
+    want += [(299, "response", None)] + [(100 + i, "revisit", 299) for i in range(199)]
+    assert sorted(got, key=str) == sorted(want, key=str)
