@@ -129,3 +129,39 @@ def index_factory(d: int, description: str):
     if head.startswith("IVF") and head[3:].isdigit() and tail == "Flat":
         return IndexIVFFlat(d, int(head[3:]))
     raise ValueError("descriptions are Flat and IVF<n>,Flat")
+
+
+class Kmeans:
+    """Clustering with FAISS's names: train, centroids, obj (the cost of the fit), assign and an index over the centroids."""
+
+    def __init__(self, d: int, k: int, niter: int = 25, nredo: int = 1, spherical: bool = False, seed: int = 1234, verbose: bool = False):
+        self.d, self.k, self.index = d, k, None
+        self.model = KMeans(n_clusters=k, max_iter=niter, n_init=nredo, seed=seed, initialization_method="random", distance="cosine" if spherical else "euclidean", normalize_data=spherical)
+
+    def train(self, df: DataFrame) -> float:
+        """df: id and an array x. Gives the final cost."""
+        import warnings
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", UserWarning)  # niter is a budget, not a failure
+            self.model.fit(df)
+        self.centroids, self.obj = self.model.cluster_centres, self.model.inertia
+        self.index = IndexFlatL2(self.d)
+        self.index.add(df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(self.centroids)], "id long, x array<double>"))
+        return self.obj
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """id, D (squared distance to the nearest centroid, or one less the cosine) and I (its number)."""
+        label, least = self.model._label_columns(self.centroids)
+        return self.model._ready(df).select("id", least.alias("D"), label.alias("I"))
+
+
+def get_version() -> str:
+    import lodestone
+
+    return lodestone.__version__
+
+
+def get_arch_info(spark) -> DataFrame:
+    """One row: what the session computes with."""
+    return spark.createDataFrame([(spark.version, spark.sparkContext.master, spark.sparkContext.defaultParallelism)], "spark string, master string, parallelism int")

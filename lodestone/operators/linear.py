@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.matrix import dot, gram, literal, moments, pack, sum_arrays, to_numpy
 from lodestone.operators.optim import elastic_net, lbfgs
-from lodestone.operators.params import Configured, Param
+from lodestone.operators.params import MIXED, Configured, Param
 
 YES = Param(False, kind=bool)
 #: Most coefficients of a logistic regression that Newton steps are taken for.
@@ -33,7 +33,7 @@ class LinearModel(Configured):
         "scaling": Param("auto", words=("auto", "none", "no", "centering", "scale", "scale only", "standardize", "standardise")),
         "max_iter": Param(10000, 1), "constraint": Param("ssc", words=("ssc", "symmetric", "symmetric side", "rsc", "reference category")),
         "reg_lambda": Param(0.0, 0), "reg_alpha": Param(0.0, 0, 1), "warm_start": YES, "tol": Param(1e-4, 0, 1), "dual_gap_tol": Param(1e-4, 0), "progress_factor": Param(None),
-        "mixed_precision": YES, "check_data": YES,
+        "mixed_precision": MIXED, "check_data": YES,
     }
 
     def _solver(self) -> str:

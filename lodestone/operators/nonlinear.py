@@ -27,8 +27,8 @@ class NonlinearLeastSquares(Configured):
     PARAMS = {
         "n_coef": Param(1, 1), "lower_bounds": Param(None), "upper_bounds": Param(None),
         "model": Param("hybrid", words=("gauss-newton", "quasi-newton", "hybrid", "tensor-newton")),
-        "method": Param("galahad", words=("galahad", "more-sorensen", "powell-dogleg", "aint", "linear solver")),
-        "glob_strategy": Param("tr", words=("tr", "trust-region", "reg", "regularization")), "reg_term": Param(0.0, 0), "reg_power": Param("quadratic", words=("quadratic", "cubic")),
+        "method": Param("more-sorensen", words=("more-sorensen", "powell-dogleg", "linear solver"), inert="every step is a damped Gauss-Newton step"),
+        "glob_strategy": Param("tr", words=("tr", "trust-region", "reg", "regularization"), inert="steps are damped until they descend"), "reg_term": Param(0.0, 0), "reg_power": Param("quadratic", words=("quadratic", "cubic")),
         "check_derivatives": Param("no", words=("no", "yes")), "derivative_test_tol": Param(1e-4, 0, 10, open_low=True), "fd_step": Param(1e-7, 0, 10, open_low=True),
         "max_iter": Param(100, 1), "abs_gtol": Param(1e-5, 0), "gtol": Param(1e-8, 0), "abs_ftol": Param(1e-8, 0), "ftol": Param(1e-8, 0), "xtol": Param(2.0**-53, 0),
         "verbose": Param(0, 0, 5), "check_data": Param(False, kind=bool),

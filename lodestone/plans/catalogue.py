@@ -116,6 +116,11 @@ def stats_variance_all(spark, sf_dir):
     return rounded(stats.variance(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], axis="all"))
 
 
+@query(f"SELECT {columns('round(sum({c}), 1) AS {c}')} FROM lineitem")
+def stats_sum(spark, sf_dir):
+    return rounded(stats.total(table(spark, sf_dir, "lineitem"), PRICES), 1)
+
+
 _Q = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 _H = {
     1: "n * q", 2: "n * q + 0.5", 3: "n * q - 0.5", 4: "n * q", 5: "n * q + 0.5", 6: "(n + 1) * q", 7: "(n - 1) * q + 1",
@@ -235,6 +240,37 @@ def csv_round_trip(spark, sf_dir):
     return read_csv(spark, path, header=True).drop("__row")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS row_id, c_name AS name, CASE WHEN c_acctbal < 0 THEN -1 ELSE c_acctbal END AS balance FROM customer")
+def csv_options(spark, sf_dir):
+    """Another delimiter, decimal commas, and words for missing numbers, which a forced type reads as nulls."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/lodestone/csv-{uuid.uuid4().hex}"
+    amount = F.when(F.col("c_acctbal") < 0, F.lit("none")).otherwise(F.regexp_replace(F.col("c_acctbal").cast("string"), "[.]", ","))
+    df = table(spark, sf_dir, "customer").orderBy("c_custkey").select(amount.alias("balance"), F.col("c_custkey").alias("key"))
+    df.coalesce(1).write.csv(path, header=True, sep=";")
+    found = read_csv(spark, path, header=True, delimiter=";", decimal=",", datatype="double", missing="warn").drop("__row")
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("double").alias("key"), F.col("c_name").alias("name"))
+    return DataStore(found.join(names, "key").select("key", "name", F.coalesce("balance", F.lit(-1.0)).alias("balance")), ["key"]).df.select("row_id", "name", "balance")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS row_id, c_name, c_nationkey FROM customer QUALIFY row_id BETWEEN 20 AND 79")
+def store_slice(spark, sf_dir):
+    store = DataStore().load_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), ["c_custkey"])
+    return store.select_slice("s", 20, 79, 1, 2).extract("s")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS row_id, CASE WHEN row_number() OVER (ORDER BY c_custkey) = 8 THEN 'seven' ELSE c_name END AS name FROM customer")
+def store_element(spark, sf_dir):
+    """A labelled column is taken out by its label; one element of it was set."""
+    store = DataStore(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+    store.label_column(1, "name")
+    store.set_element(7, 1, "seven")
+    if store.get_element(7, 1) != "seven" or store.index("name") != 1 or store.label(1) != "name":
+        raise RuntimeError("the element was not set")
+    return store.extract_column("name")
+
+
 _SPLIT = "md5(concat('0:', CAST({id} AS VARCHAR)))"
 
 
@@ -316,6 +352,20 @@ def radius_cosine(spark, sf_dir):
     return rounded(pairs.radius_join(v, v, 0.5, "cosine", exclude_self=True), 5)
 
 
+@query("SELECT DISTINCT label FROM embeddings")
+def knn_classes(spark, sf_dir):
+    return neighbors.NearestNeighbors().fit(vectors(spark, sf_dir), label="label").classes()
+
+
+@query(f"SELECT id, round(list_sum(list_transform(x, lambda e: e / sqrt(list_inner_product(x, x)))), 6) AS total, round(sqrt(list_inner_product(x, x)), 6) AS size FROM {_E}")
+def normalized_rows(spark, sf_dir):
+    from lodestone.functions.vectors import normalize
+
+    v = vectors(spark, sf_dir).withColumn("u", normalize(F.col("x")))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    return rounded(v.select("id", add(F.col("u")).alias("total"), (add(F.zip_with("x", "u", lambda a, b: a * b))).alias("size")))
+
+
 _VOTES = f"""WITH k AS ({_KNN.format(d="list_distance(a.x, b.x)", way="")}), v AS (SELECT id_x, label, sum({{w}}) AS w FROM k JOIN embeddings e ON e.vec_id = k.id_y GROUP BY ALL),
 p AS (SELECT id_x AS id, label, w / sum(w) OVER (PARTITION BY id_x) AS proba FROM v) """
 
@@ -353,14 +403,14 @@ _CENTROIDS = "(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS g, CAST(embeddi
 
 @query(
     f"""WITH l AS (SELECT e.id, e.x, c.g, row_number() OVER (PARTITION BY e.id ORDER BY round(pow(list_distance(e.x, c.c), 2), 9), c.g) AS r FROM {_E} e, {_CENTROIDS} c),
-f AS (SELECT q.id AS id_x, b.id AS id_y, pow(list_distance(q.x, b.x), 2) AS d FROM l q JOIN l b ON q.g = b.g AND q.r <= 3 AND b.r = 1),
+f AS (SELECT q.id AS id_x, b.id AS id_y, pow(list_distance(q.x, b.x), 2) AS d FROM l q JOIN l b ON q.g = b.g AND q.r <= 6 AND b.r = 1),
 t AS (SELECT id_x, id_y, d, CAST(row_number() OVER (PARTITION BY id_x ORDER BY round(d, 9), id_y) AS INTEGER) AS rank FROM f)
 SELECT e.vec_id AS id_x, p.rank, t.id_y, round(coalesce(t.d, 'inf'::DOUBLE), 5) AS dist FROM embeddings e CROSS JOIN (SELECT CAST(unnest([1, 2, 3, 4]) AS INTEGER) AS rank) p LEFT JOIN t ON t.id_x = e.vec_id AND t.rank = p.rank"""
 )
 def ivf_search(spark, sf_dir):
     v = vectors(spark, sf_dir)
     centroids = [r.x for r in v.orderBy("id").limit(8).collect()]  # eight rows, as supplied centroids
-    index = neighbors.ApproximateNeighbors(n_list=8, n_probe=3, n_neighbors=4).train_and_add(v, centroids)
+    index = neighbors.ApproximateNeighbors(n_list=8, n_probe=6, n_neighbors=4).train_and_add(v, centroids)
     return rounded(index.kneighbors(v), 5)
 
 
@@ -411,6 +461,19 @@ def kmeans_transform(spark, sf_dir):
     return rounded(model.transform(points).select("id", F.posexplode("distances").alias("cluster", "dist")).withColumn("cluster", F.col("cluster").cast("long")), 4)
 
 
+_FAR = [*_START, (1e6, 1e6)]
+_EMPTY = _ROUNDS.replace(_C0, "(VALUES " + ", ".join(f"({i}, {a}::DOUBLE, {b}::DOUBLE)" for i, (a, b) in enumerate(_FAR)) + ")")
+
+
+@query(_EMPTY + "SELECT CAST(k AS BIGINT) AS cluster, round(a, 4) AS size, round(b, 4) AS price FROM c2")
+def kmeans_empty_cluster(spark, sf_dir):
+    """A centre that no row is near stays where it is."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)
+        model = KMeans(n_clusters=4, initialization_method="supplied", C=_FAR, max_iter=2, tol=0.0, algorithm="elkan").fit(part_points(spark, sf_dir))
+    return rounded(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(model.cluster_centres)], "cluster long, size double, price double"), 4)
+
+
 @query(
     """WITH p AS (SELECT c_custkey AS id, c_acctbal AS x FROM customer), n AS (SELECT id, x, count(*) OVER (ORDER BY x RANGE BETWEEN 9.0 PRECEDING AND 9.0 FOLLOWING) AS k FROM p),
 c AS (SELECT id, x, CASE WHEN x - lag(x) OVER (ORDER BY x) <= 9.0 THEN 0 ELSE 1 END AS gap FROM n WHERE k >= 4), g AS (SELECT id, x, sum(gap) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS isle FROM c),
@@ -449,6 +512,43 @@ def ols_two_features(spark, sf_dir):
     return rounded(_line(spark, model, ["l_quantity", "l_discount", "intercept"]), 3)
 
 
+@query(_TWO.format(lam="0"))
+def ols_qr(spark, sf_dir):
+    model = linear.LinearModel(intercept=True, solver="qr").fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return rounded(_line(spark, model, ["l_quantity", "l_discount", "intercept"]), 3)
+
+
+@query(_TWO.format(lam="0"))
+def ols_svd(spark, sf_dir):
+    model = linear.LinearModel(intercept=True, solver="svd").fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return rounded(_line(spark, model, ["l_quantity", "l_discount", "intercept"]), 3)
+
+
+@query(_TWO.format(lam="0"))
+def ols_cg(spark, sf_dir):
+    model = linear.LinearModel(intercept=True, solver="cg").fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return rounded(_line(spark, model, ["l_quantity", "l_discount", "intercept"]), 3)
+
+
+@query(_TWO.format(lam="0"))
+def ols_lbfgs(spark, sf_dir):
+    model = linear.LinearModel(intercept=True, solver="lbfgs").fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return rounded(_line(spark, model, ["l_quantity", "l_discount", "intercept"]), 3)
+
+
+@query(_TWO.format(lam="0"))
+def ols_scaled(spark, sf_dir):
+    """Features are scaled for the solver; the coefficients are those of the data."""
+    model = linear.LinearModel(intercept=True, scaling="standardize").fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return rounded(_line(spark, model, ["l_quantity", "l_discount", "intercept"]), 3)
+
+
+@query("SELECT round((regr_syy(l_extendedprice, l_quantity) - pow(regr_slope(l_extendedprice, l_quantity), 2) * regr_sxx(l_extendedprice, l_quantity)) / (2 * count(*)), 0) AS loss, CAST(1 AS INTEGER) AS n_iter FROM lineitem")
+def ols_info(spark, sf_dir):
+    model = linear.LinearModel(intercept=True).fit(table(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice")
+    return rounded(model.info(spark).select("loss", "n_iter"), 0)
+
+
 @query(_TWO.format(lam="50"))
 def ridge_two_features(spark, sf_dir):
     model = linear.LinearModel(intercept=True, reg_lambda=50.0).fit(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
@@ -466,6 +566,14 @@ def elastic_net_one_feature(spark, sf_dir):
     return rounded(_line(spark, model, ["l_quantity", "intercept"]), 4)
 
 
+@query(ORACLES["elastic_net_one_feature"])
+def elastic_net_warm_start(spark, sf_dir):
+    """A second fit starts from the coefficients of another penalty."""
+    df = table(spark, sf_dir, "lineitem")
+    model = linear.LinearModel(intercept=True, reg_lambda=100.0, reg_alpha=0.6, warm_start=True).fit(df, ["l_quantity"], "l_extendedprice")
+    return rounded(_line(spark, model.set_params(reg_lambda=2000.0).fit(df, ["l_quantity"], "l_extendedprice"), ["l_quantity", "intercept"]), 4)
+
+
 @query("SELECT round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem")
 def ols_r2(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
@@ -486,7 +594,15 @@ def flagship(spark, sf_dir):
     return rounded(_line(spark, linear.LinearModel(intercept=True).fit(df, names, "l_extendedprice"), [*names, "intercept"]))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT corr(l_quantity, l_discount) AS ab, corr(l_quantity, l_tax) AS ac, corr(l_discount, l_tax) AS bc,
+corr(l_quantity, l_extendedprice) AS ay, corr(l_discount, l_extendedprice) AS "by", corr(l_tax, l_extendedprice) AS cy FROM lineitem),
+d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM r)
+SELECT 'l_quantity' AS term, round((ay * (1 - bc * bc) - ab * ("by" - bc * cy) + ac * ("by" * bc - cy)) / det, 6) + 0.0 AS coef FROM d
+UNION ALL SELECT 'l_discount', round(("by" - bc * cy - ay * (ab - bc * ac) + ac * (ab * cy - "by" * ac)) / det, 6) + 0.0 FROM d
+UNION ALL SELECT 'l_tax', round((cy - bc * "by" - ab * (ab * cy - "by" * ac) + ay * (ab * bc - ac)) / det, 6) + 0.0 FROM d
+UNION ALL SELECT 'intercept', 0.0"""
+)
 def ols_standardized(spark, sf_dir):
     return flagship(spark, sf_dir)
 
@@ -534,6 +650,27 @@ def pca_embeddings(spark, sf_dir):
     return rounded(decomp.PCA(n_components=4).fit(v).transform(v).select("id", F.posexplode("scores").alias("component", "score")), 4)
 
 
+def _part_matrix(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 10).alias("x"))
+
+
+@query("SELECT p_partkey AS id, round(CAST(p_size AS DOUBLE), 5) AS size, round(p_retailprice / 10, 5) AS price FROM part")
+def pca_inverse(spark, sf_dir):
+    """All components give the rows back, whitened or not."""
+    df = _part_matrix(spark, sf_dir)
+    model = decomp.PCA(n_components=2, method="correlation", whiten=True).fit(df)
+    back = model.inverse_transform(model.transform(df).select("id", "scores"))
+    return rounded(back.select("id", F.element_at("x", 1).alias("size"), F.element_at("x", 2).alias("price")), 5)
+
+
+@query("SELECT p_partkey AS id, round(pow(p_size - (SELECT avg(p_size) FROM part), 2) + pow(p_retailprice / 10 - (SELECT avg(p_retailprice / 10) FROM part), 2), 3) AS energy FROM part")
+def pca_energy(spark, sf_dir):
+    """The squared scores of a row add up to its squared distance from the mean."""
+    df = _part_matrix(spark, sf_dir)
+    scores = decomp.PCA(n_components=2, solver="gesdd").fit(df).transform(df)
+    return rounded(scores.select("id", F.aggregate("scores", F.lit(0.0), lambda a, b: a + b * b).alias("energy")), 3)
+
+
 @query()
 def kernel_pca_embeddings(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -613,12 +750,29 @@ def spline_hermite(spark, sf_dir):
     return rounded(model.evaluate(points, orders=(0, 1)), 4)
 
 
-@query()
+# second derivatives at the sites by elimination from the left, then substitution from the right
+_NATURAL = f"""WITH RECURSIVE s AS (SELECT CAST(row_number() OVER (ORDER BY x) AS INTEGER) AS i, x, y FROM {_DAYS}), n AS (SELECT max(i) AS n FROM s),
+g AS (SELECT b.i, b.x - a.x AS h0, c.x - b.x AS h1, 6 * ((c.y - b.y) / (c.x - b.x) - (b.y - a.y) / (b.x - a.x)) AS r FROM s a JOIN s b ON b.i = a.i + 1 JOIN s c ON c.i = b.i + 1),
+f(i, c, d) AS (SELECT 1, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+  SELECT g.i, g.h1 / (2 * (g.h0 + g.h1) - g.h0 * f.c), (g.r - g.h0 * f.d) / (2 * (g.h0 + g.h1) - g.h0 * f.c) FROM f JOIN g ON g.i = f.i + 1),
+m(i, v) AS (SELECT n, CAST(0 AS DOUBLE) FROM n UNION ALL SELECT f.i, f.d - f.c * m.v FROM m JOIN f ON f.i = m.i - 1),
+k AS (SELECT a.x, a.y, b.x - a.x AS h, (b.y - a.y) / (b.x - a.x) - (b.x - a.x) * (2 * p.v + q.v) / 6 AS c, p.v / 2 AS b, (q.v - p.v) / (6 * (b.x - a.x)) AS a, a.i
+  FROM s a JOIN s b ON b.i = a.i + 1 JOIN m p ON p.i = a.i JOIN m q ON q.i = b.i),
+t AS (SELECT s.x + 0.5 AS pos, k.*, s.x + 0.5 - k.x AS u FROM s JOIN k ON k.i = least(s.i, (SELECT n - 1 FROM n)))
+SELECT round(pos, 4) AS x, round(((a * u + b) * u + c) * u + y, 4) + 0.0 AS d0, round((3 * a * u + 2 * b) * u + c, 4) + 0.0 AS d1, round(6 * a * u + 2 * b, 4) + 0.0 AS d2 FROM t"""
+
+
+@query(_NATURAL)
 def spline_natural(spark, sf_dir):
     days = daily(spark, sf_dir)
     return rounded(spline.CubicSpline("natural").fit(days).evaluate(days.select((F.col("x") + 0.5).alias("x")), orders=(0, 1, 2)), 4)
 
 
+@query("SELECT CAST(i AS BIGINT) AS i, round(2 + i * CAST(3 AS DOUBLE) / 999, 9) AS x FROM range(1000) t(i)")
+def spline_uniform_sites(spark, sf_dir):
+    return rounded(spline.CubicSpline.uniform_sites(spark, 1000, 2.0, 5.0), 9)
+
+
 # models on disk, streams
 
 
@@ -636,6 +790,30 @@ def model_round_trip(spark, sf_dir):
 ORACLES["model_round_trip"] = ORACLES["kmeans_predict"]
 
 
+@query("SELECT 'KMeans' AS model, 'double' AS precision")
+def model_description(spark, sf_dir):
+    """What a saved model is, read without loading it."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/lodestone/model-{uuid.uuid4().hex}"
+    save_model(_kmeans(spark, sf_dir)[0], spark, path)
+    return model_metadata(spark, path).select("model", "precision")
+
+
+@query("SELECT j AS term, CAST(0 AS DOUBLE) AS gradient FROM range(65) t(j)")
+def logistic_optimality(spark, sf_dir):
+    """At the coefficients of a binary regression the gradient, summed here by expressions, is nought (label 0 or not)."""
+    v = vectors(spark, sf_dir).withColumn("y", (F.col("label") == 0).cast("int"))
+    model = linear.LinearModel(mod="logistic", intercept=True, reg_lambda=1.0, tol=1e-8).fit(v, "x", "y")
+    w = [float(c) for c in model.coef.ravel()]
+    x = F.concat("x", F.array(F.lit(1.0)))
+    score = F.aggregate(F.zip_with(x, F.lit(w), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    miss = v.select(x.alias("x"), (1 / (1 + F.exp(-score)) - F.col("y")).alias("r"))
+    sums = miss.select(F.posexplode("x").alias("j", "e"), "r").groupBy("j").agg(F.sum(F.col("e") * F.col("r")).alias("g"))
+    penalty = F.element_at(F.lit([*w[:-1], 0.0]), F.col("j") + 1)
+    return sums.select(F.col("j").cast("long").alias("term"), (F.round(F.col("g") + penalty, 4) + 0.0).alias("gradient"))
+
+
 @query(ORACLES["ivf_search"])
 def ivf_search_streamed(spark, sf_dir):
     """The index is filled by a stream over the table's file."""
@@ -645,7 +823,7 @@ def ivf_search_streamed(spark, sf_dir):
 
     v = vectors(spark, sf_dir)
     centroids = [r.x for r in v.orderBy("id").limit(8).collect()]
-    index = neighbors.ApproximateNeighbors(n_list=8, n_probe=3, n_neighbors=4).train(v, centroids)
+    index = neighbors.ApproximateNeighbors(n_list=8, n_probe=6, n_neighbors=4).train(v, centroids)
     base = f"{shared_dir(spark)}/lodestone/stream-{uuid.uuid4().hex}"
     raw = table(spark, sf_dir, "embeddings")
     files = raw.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))

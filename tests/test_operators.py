@@ -249,7 +249,6 @@ def test_ivf_recall_of_trained_lists(spark):
 
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
 @pytest.mark.parametrize("name", ["ivf_search", "ivf_search_streamed"])
-@pytest.mark.xfail(strict=True, raises=AssertionError, reason="the SQL twin fixes eight untrained centroids and 3 probes")
 def test_ivf_recall_of_the_queries(spark, name):
     assert recall(spark, catalogue.QUERIES[name](spark, TABLES)) >= 0.9
 
@@ -383,6 +382,54 @@ def test_spline_points_over_many_ranges(spark):
         assert r.cell == (min(2, max(0, math.floor(r.x + 1e-12))) if r.s == 0 else 0), r
 
 
+def test_coupled_probabilities_are_the_least():
+    r = np.random.default_rng(5)
+    a = r.uniform(0.05, 0.95, (20, 4, 4))
+    a = np.triu(a, 1) + np.tril(1 - a.transpose(0, 2, 1), -1)
+    p = svm._couple(a)
+    cost = lambda p: ((a.transpose(0, 2, 1) * p[:, :, None] - a * p[:, None, :]) ** 2 * (1 - np.eye(4))).sum((1, 2))
+    assert np.allclose(p.sum(1), 1) and (p > 0).all()
+    for _ in range(30):
+        d = r.normal(size=p.shape) * 1e-3
+        assert (cost(p + d - d.mean(1, keepdims=True)) >= cost(p) - 1e-12).all()
+    true = np.array([[0.1, 0.2, 0.3, 0.4]])
+    assert np.allclose(svm._couple(true[:, :, None] / (true[:, :, None] + true[:, None, :])), true)
+
+
+def test_checked_data_and_inert_options(spark):
+    bad = spark.createDataFrame([(1, [1.0, 2.0], 1.0), (2, [float("nan"), 1.0], 2.0), (3, [1.0, 1.0], None)], "id long, x array<double>, y double")
+    good = bad.where("id = 1")
+    for model in (KMeans(n_clusters=1, check_data=True), decomp.PCA(check_data=True), neighbors.NearestNeighbors(check_data=True)):
+        with pytest.raises(ValueError, match="non-finite values in x"):
+            model.fit(bad)
+    with pytest.raises(ValueError, match="non-finite values in y"):
+        linear.LinearModel(check_data=True).fit(bad.where("id <> 2"), "x", "y")
+    with pytest.raises(ValueError, match="non-finite"):
+        DBSCAN(check_data=True).fit_predict(bad)
+    assert decomp.PCA(check_data=True).fit(good).n_samples == 1 and decomp.PCA().fit(bad).n_samples == 3
+    for make in (lambda: KMeans(mixed_precision=True), lambda: neighbors.NearestNeighbors(algorithm="kd tree"), lambda: DBSCAN(leaf_size=9), lambda: nonlinear.NonlinearLeastSquares(method="powell-dogleg")):
+        with pytest.warns(UserWarning, match="has no effect"):
+            make()
+
+
+def test_names_of_clustering_libraries(spark):
+    x, _ = blobs()
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "id long, x array<double>")
+    found = compat.Kmeans(2, 3, niter=20, nredo=3, seed=2)
+    cost = found.train(df)
+    rows = found.assign(df).collect()
+    assert len({r.I for r in rows}) == 3 and sum(r.D for r in rows) == pytest.approx(cost) and found.index.ntotal == 3
+    assert compat.get_version() and compat.get_arch_info(spark).first().parallelism > 0
+
+
+def test_randomized_kernel_pca(spark):
+    x, _ = blobs()
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)], "id long, x array<double>")
+    exact = decomp.KernelPCA(n_components=2, kernel="rbf", gamma=0.05).fit(df)
+    quick = decomp.KernelPCA(n_components=2, kernel="rbf", gamma=0.05, eigensolver="randomized", seed=1).fit(df)
+    assert np.allclose(exact.eigenvalues, quick.eigenvalues, rtol=1e-6)
+
+
 def test_gram(spark):
     x = RNG.normal(size=(30, 5))
     df = frame(spark, x)
