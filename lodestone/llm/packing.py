@@ -17,6 +17,7 @@ ignored. Sequence ids hold the task's number in their upper bits and are unique.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import string
@@ -36,10 +37,21 @@ _MARKS = string.punctuation
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+#: Words encoded as one text.
+TOGETHER = 2000
+# How a tokenizer must cut texts for its ids to be those of the words one by one.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordIds:
-    """Token ids of texts. The tokenizer never joins characters across white space, nor letters with
-    the marks behind them, and has no capitals: each chunk between white space is cut into a word
-    and its marks, which are encoded once by the library and remembered."""
+    """Token ids of texts. Where the tokenizer never joins characters across white space, nor letters
+    with the marks behind them, and has no capitals, each chunk between white space is cut into a
+    word and its marks, which are encoded once by the library and remembered. Whether it does is
+    read from its file; texts of any other tokenizer are encoded whole.
+
+    Words of letters are encoded many at a time, as one text: each ends with a token that ends a
+    word, and where their number is not that of the words these are encoded one by one."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,31 +61,60 @@ class WordIds:
         self.batch = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
         self.seen: dict[str, bytes] = {}
         self.remembered = remembered
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        model, suffix = rules["model"], rules["model"].get("end_of_word_suffix")
+        cuts = [p.get("pattern", {}).get("Regex") for p in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_words = bool(suffix) and (rules.get("normalizer") or {}).get("normalizers") == _NORMAL and cuts[:1] == [_CUT] and not rules.get("post_processor")
+        self.by_words &= not any(t["normalized"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in rules.get("added_tokens", []))
+        if self.by_words:
+            self.ends = np.zeros(self.lib.get_vocab_size(), bool)
+            self.ends[[i for w, i in model["vocab"].items() if w.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            some = words[at : at + TOGETHER]
+            ids = np.array(self.batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+            else:
+                out += self._encode(some)
+        return out
+
     def _learn(self, chunks: set[str]) -> None:
-        seen, parts, whole = self.seen, [], set()
+        seen, parts, letters, other = self.seen, [], set(), set()
         for chunk in chunks:
             word = chunk.rstrip(_MARKS)
             if word.isalpha():
                 marks = chunk[len(word) :]
                 word = word.lower() if word.isascii() else word
-                parts.append((chunk, word, marks))
-                whole.add(word)
-                if marks:
-                    whole.add(marks)
+                letters.add(word)
+                if marks or word != chunk:
+                    parts.append((chunk, word, marks))
+                    if marks:
+                        other.add(marks)
             else:
-                whole.add(chunk)
-        new = [w for w in whole if w not in seen]
-        for at in range(0, len(new), 10_000):
-            seen.update(zip(new[at : at + 10_000], self._encode(new[at : at + 10_000]), strict=True))
+                other.add(chunk)
+        letters.difference_update(seen)
+        letters = list(letters)
+        seen.update(zip(letters, self._words(letters), strict=True))
+        other = [w for w in other if w not in seen]
+        for at in range(0, len(other), 10_000):
+            seen.update(zip(other[at : at + 10_000], self._encode(other[at : at + 10_000]), strict=True))
         for chunk, word, marks in parts:
             seen[chunk] = seen[word] + seen[marks] if marks else seen[word]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return self._encode(texts)
         whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
         split = [t.split() for t in texts]
         for i in whole:

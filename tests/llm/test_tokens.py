@@ -1,11 +1,13 @@
 """Token operators against the public libraries."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tokenizers
 
 from lodestone.llm import packing, sentencepieces, token_counts
 from lodestone.llm.pieces import Vocabulary
@@ -137,3 +139,23 @@ def test_level_rule():
         p.place((i, 0, n, b"\0" * 4 * n, n))
     assert p.count.tolist() == [0, 0, 0, 0, 0, 0, 1, 0, 0, 1, 0]  # 6+3 rather than a third window
     assert len(p.place((3, 0, 1, b"\0" * 4, 1))) == 3  # fills the window of 9
+
+
+@pytest.mark.parametrize("text", ["the" * 20_000, "ab" * 500 + "ba" * 20_000, "a" * 50_000, "Zq9+/" * 20_000, "x" + "é" * 10_000, " ".join(["thethethe" * 50] * 100)])
+def test_long_unbroken_strings(text):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    began = time.process_time()
+    assert token_counts.count_texts([text], path).tolist() == [len(library.encode(text, num_threads=1))]
+    assert time.process_time() - began < 20
+
+
+def test_packing_reads_how_the_tokenizer_cuts():
+    texts = ["The house, isn't it?", "A b\u001cC", "", "café İstanbul ǅ x2y 'S don'T", "##a " * 50]
+    for name, words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        encode = packing.WordIds(path)
+        assert encode.by_words == words
+        library = tokenizers.Tokenizer.from_file(path)
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert encode(texts) == want
