@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import ngram_join, packing, quality_crf, suffix_dedup
-from lodestone.llm.common import stage
+from lodestone.sources.staging import discard, stage, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage is written and read again; what it staged on the way is deleted once it is written, and so is its input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
-        docs = stage(function(spark, docs, sf_dir), name)
+        before = docs
+        with temporary(spark):
+            docs = stage(function(spark, before, sf_dir), name, kept=True)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.staging import stage
+from lodestone.sources.staging import discard, stage
 
 #: Edges that a task contracts at once, and of what is left those that one task finishes.
 HELD = 2_000_000
@@ -73,22 +73,25 @@ def connected_components(edges: DataFrame, name: str = "components", rounds: int
     links = stage(contracted(ends, held), name)
     for left in range(rounds, -1, -1):
         if links.count() <= held:
-            links = contracted(links.repartition(1), 2 * held)
+            before, links = links, stage(contracted(links.repartition(1), 2 * held), name)
+            discard(before)
             break
         if not left:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stage(large, name)
+        large, before = stage(large, name), least
         least = stage(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        discard(before)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         small = stage(small, name)
+        discard(links, large, least)
         if _settled(small):
             links = small
             break
         links = stage(contracted(small, held), name)
-    links = stage(links, name)
+        discard(small)
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,10 +21,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_open: list[list[str]] = []
+
+
+def stage(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
-    It cuts the lineage: a lost executor costs a re-read, not a recomputation."""
+    It cuts the lineage: a lost executor costs a re-read, not a recomputation. The table stays until
+    the innermost `temporary` ends (without one, or if it is to be kept, for good)."""
     path = f"{shared_dir(df.sparkSession)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open and not kept:
+        _open[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_staged", None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Tables staged inside are deleted at the end: what is built on them must have been written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
