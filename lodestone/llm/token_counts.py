@@ -1,8 +1,8 @@
 """Token counts of a byte-fallback BPE vocabulary by rank-synchronous array merging.
 
-Pre-tokens of a batch are one ragged numpy array of symbols. They are cut wherever two characters
-meet that stand side by side in no piece, as no merge can join them: long unbroken strings fall
-into short sequences. In each round every sequence finds its pair of lowest rank, and all these
+Pre-tokens of a batch are one ragged numpy array of symbols. Long ones (of more than LONG characters)
+are cut wherever two characters meet that stand side by side in no piece, as no merge can join them:
+unbroken strings fall into short sequences. In each round every sequence finds its pair of lowest rank, and all these
 pairs are merged at once; the symbols that survive are the tokens.
 
 Merging every occurrence of the same pair in one round is the sequential result unless a
@@ -107,9 +107,13 @@ class MergeTable:
         total = np.bincount(word, weights=extra, minlength=len(words)).astype(np.int64)
         if not len(sym):
             return total
-        key = sym[:-1] << 32 | sym[1:]
-        at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
-        apart = (word[1:] != word[:-1]) | (self.beside[at] != key) | (sym[:-1] < 0) | (sym[1:] < 0)
+        apart = word[1:] != word[:-1]
+        inside = np.flatnonzero(np.repeat(length > LONG, length)[:-1] & ~apart)
+        if len(inside):
+            a, b = sym[inside], sym[inside + 1]
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)
+            apart[inside] = (self.beside[at] != key) | (a < 0) | (b < 0)
         heads = np.flatnonzero(np.concatenate(([True], apart)))
         owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(sym))))
         out = np.zeros(len(heads), np.int64)
