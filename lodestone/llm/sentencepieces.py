@@ -50,6 +50,8 @@ class PrefixViterbi:
         self.vocabulary = vocabulary
         self.scores = scores or unigram_scores(vocabulary)
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
+        # every ending of a piece: the score of the piece that it is, or minus infinity
+        self.tails = dict.fromkeys((p[k:] for p in self.scores for k in range(len(p))), -math.inf) | self.scores
         self.text_of = [b""] * len(vocabulary.pieces)
         for p, i in vocabulary.normal.items():
             self.text_of[i] = p.replace(MARK, " ").encode()
@@ -58,7 +60,7 @@ class PrefixViterbi:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Each word's ids as little-endian 32-bit integers; words may come in any order."""
-        scores, longest, unknown = self.scores, self.vocabulary.longest, self.unknown
+        scores, tails, unknown, nothing = self.scores, self.tails, self.unknown, -math.inf
         normal, byte_ids = self.vocabulary.normal, self.vocabulary.byte_ids
         best, back, last, out = [0.0], [0], "", {}
         for word in sorted(words):
@@ -68,11 +70,12 @@ class PrefixViterbi:
                 shared += 1
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, at = -math.inf, end - 1
-                for start in range(max(0, end - longest), end):
-                    s = scores.get(word[start:end])
-                    if s is not None and best[start] + s > top:
-                        top, at = best[start] + s, start
+                top, at, start = -math.inf, end - 1, end - 1
+                # to the left as long as a piece ends so; of equal paths the one with the longest last piece
+                while start >= 0 and (s := tails.get(word[start:end])) is not None:
+                    if (s := best[start] + s) >= top and s > nothing:
+                        top, at = s, start
+                    start -= 1
                 if word[end - 1 : end] not in scores and best[end - 1] + unknown > top:
                     top, at = best[end - 1] + unknown, end - 1
                 best.append(top)
