@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.sources.staging import discard, stage
 
 #: Edges that a task contracts at once, and of what is left those that one task finishes.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Alternating rounds; each takes a node at least twice as near to its component, so this bounds no real graph.
 ROUNDS = 60
 
@@ -61,16 +61,17 @@ def contracted(edges: DataFrame, held: int = HELD) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def connected_components(edges: DataFrame, name: str = "components", rounds: int = ROUNDS, held: int = HELD) -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", rounds: int = ROUNDS, held: int = HELD, forest: bool = False) -> DataFrame:
     """(node, component) for every end of the undirected edges (u, v); component is the smallest node reached.
 
-    Tasks contract their edges first. Once at most `held` are left, one task finishes; until then
+    Tasks contract their edges first (unless they come as a forest of each task already, which spares
+    a second Python worker beside the one that makes them). Once at most `held` are left, one task finishes; until then
     large-star and small-star steps alternate (Kiveris et al., 2014): each joins edges with the
     least neighbour of their end, so that no step holds a node's neighbours in one task. The least
     neighbours are pre-aggregated before they are shuffled, and staged: both sides of a join are then
     plain shuffles, of which the adaptive planner splits the partition of a hub."""
     ends = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    links = stage(contracted(ends, held), name)
+    links = stage(ends if forest else contracted(ends, held), name)
     for left in range(rounds, -1, -1):
         if links.count() <= held:
             before, links = links, stage(contracted(links.repartition(1), 2 * held), name)
