@@ -22,11 +22,11 @@ from lodestone.llm.common import connected_components, local_roots, map_arrow, p
 #: Rows of a block; a cell holds two blocks at most.
 BLOCK = 1024
 #: Groups of more rows than SMALL are split into up to SPREAD blocks, so that several tasks share them.
-SMALL, SPREAD = 128, 8
+SMALL, SPREAD = 256, 4
 #: Entries of a task that ties buckets.
 ENTRIES = 4_000_000
 #: Entries that a task ties at once before they are shuffled.
-TIED = 1_500_000
+TIED = 500_000
 _ENTRIES, _EDGES = 0, 1
 
 

@@ -254,7 +254,7 @@ def near_duplicates(
     plans = _plans(good, n, threshold, miss)
     entries = int(n * max((p.tables * (1 + 0.5 * p.functions) for p in plans.values()), default=1))
     found = cells.stars(keyed.select("node", "vector"), _entries(plans, n, threshold, miss, seed), entries)
-    parts = stage(connected_components(found, "vector-candidates"), "vector-candidate-parts")
+    parts = stage(connected_components(found, "vector-candidates", forest=True), "vector-candidate-parts")
     sizes = parts.groupBy("component").agg(F.count("*").alias("size")).select("component", cells.blocks("size", block).alias("blocks"))
     wanted = stage(parts.join(sizes, "component").join(sets, "node").withColumn("mark", F.xxhash64("least", "node")), "vector-candidate-sets")
     held = bit_map(wanted, "mark")

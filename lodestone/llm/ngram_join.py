@@ -244,7 +244,7 @@ def ngram_join(
 
     found = cells.stars(some.select("node", "bands"), enter, reps.count() * bands)
     # a component goes by 64 bits of its sets' digests; equal ones of two sets would only join two components
-    parts = stage(connected_components(found, "candidates"), "candidate-parts")
+    parts = stage(connected_components(found, "candidates", forest=True), "candidate-parts")
     wanted = parts.join(reps.select("node", "key", "rep", "copies", "grams", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")), "node")
     wanted = stage(wanted, "candidate-sets")
     split = F.greatest(cells.blocks("size", block), F.ceil(F.col("runs") / F.lit(grams))).alias("blocks")
