@@ -20,10 +20,12 @@ through whole.
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import ngram_join, packing, quality_crf, suffix_dedup
+from lodestone.llm.common import bit_map, marked
 from lodestone.sources.staging import discard, stage, temporary
 
 
@@ -36,12 +38,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a row goes by its id and text, as an id may stand for several texts
     near = ngram_join.ngram_join(docs, hashed=True).groupBy("doc_id", "text_hash").agg(F.bool_or("kept").alias("stays"), F.bool_and("kept").alias("all_stay"))
     near = stage(near.where("NOT all_stay"), "near-copies")
+    # a bit map of fixed size tells the rows that may be among them: only those are shuffled
+    held = bit_map(near.select(F.xxhash64("doc_id", "text_hash").alias("mark")), "mark")
     rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = rows.withColumn("__mark", F.xxhash64(F.col("doc_id").cast("long"), "__hash"))
+    at = rows.columns.index("__mark")
+
+    def maybe(known: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                hit = marked(held, batch.column(at).to_numpy())
+                yield batch.filter(pa.array(hit if known else ~hit))
+
+        return rows.mapInArrow(run, rows.schema)
 
     def of(part: DataFrame, how: str) -> DataFrame:
-        return rows.join(part, rows["doc_id"].eqNullSafe(part["doc_id"]) & (rows["__hash"] == part["text_hash"]), how)
+        some = maybe(True)
+        return some.join(part, some["doc_id"].eqNullSafe(part["doc_id"]) & (some["__hash"] == part["text_hash"]), how)
 
-    kept = of(near, "left_anti")
+    kept = maybe(False).union(of(near, "left_anti"))
     once = near.where("stays")  # repeated rows, of which one stays
     if not once.isEmpty():
         kept = kept.union(of(once, "left_semi").dropDuplicates(["doc_id", "__hash"]))
