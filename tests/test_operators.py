@@ -189,6 +189,15 @@ def test_distances_agree_with_expressions(spark, metric):
         assert got[2, 0] == 1
 
 
+def test_a_join_sends_few_copies(spark):
+    """Each row goes to the parts of the other side, which grow with what a cell holds and not with the block."""
+    x = RNG.normal(size=(40, 2))
+    df = frame(spark, x).withColumn("g", F.lit(0))
+    assert pairs._dealt(df, df, 1).count() == 40 * (16 + 4)  # blocks of both sides: 40 * (40 + 40)
+    found = pairs.block_join(df, df, lambda ia, a, ib, b: {"i": np.repeat(ia, len(ib)), "j": np.tile(ib, len(ia))}, "i long, j long", 1)
+    assert found.distinct().count() == found.count() == 1600
+
+
 def test_knn_in_small_blocks(spark):
     x = np.round(RNG.normal(size=(60, 2)), 1)
     df = frame(spark, x)
