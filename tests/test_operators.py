@@ -217,6 +217,24 @@ def test_whole_powers_are_products():
     assert min(seconds(3.0) for _ in range(3)) < 0.6 * min(seconds(2.5) for _ in range(3))
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "minkowski", "manhattan", "cosine"])
+def test_pairs_within_a_radius(metric):
+    a = np.round(RNG.normal(size=(60, 4)), 1) + 1e3  # many ties at the radius, far from the origin
+    b = np.vstack([a[:30] + np.array([0.3, 0, 0, 0.4]), [[np.nan] * 4, [np.inf] * 4, [1e200] * 4]])
+    d = pairs.block_distance(metric, a, b)
+    i, j, got = pairs.within(metric, a, b, float(np.sort(d[np.isfinite(d)])[40]))
+    r = np.sort(d[np.isfinite(d)])[40]
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(v.tolist() for v in np.nonzero(d <= r)), strict=True))
+    assert (got == d[i, j]).all()
+
+
+def test_few_pairs_within_a_radius_are_found_by_products(monkeypatch):
+    a = RNG.normal(size=(512, 64))
+    monkeypatch.setattr(pairs, "block_distance", None)  # which adds coordinate by coordinate
+    i, j, d = pairs.within("euclidean", a, a, 0.6)
+    assert (i == j).all() and len(i) == 512 and not d.any()
+
+
 def test_knn_in_small_blocks(spark):
     x = np.round(RNG.normal(size=(60, 2)), 1)
     df = frame(spark, x)
