@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import stats, vectors
 from lodestone.operators import compat, decomp, linear, neighbors, nonlinear, pairs, split, spline, svm, trees
 from lodestone.operators.cluster import DBSCAN, KMeans
-from lodestone.operators.components import connected_components
+from lodestone.operators.components import connected_components, local_roots
 from lodestone.operators.matrix import gram, moments
 from lodestone.plans import catalogue
 from lodestone.sources.csvio import numbered, read_csv
@@ -359,6 +359,38 @@ def test_dbscan_equals_brute_force(spark):
     assert [r.is_core for r in got] == core.tolist() and [r.label for r in got] == label.tolist()
 
 
+def test_slabs_send_rows_to_near_cells(spark):
+    """One wide coordinate, many equal values, a row that is no number: all pairs within reach, few copies."""
+    x = np.round(RNG.uniform(-500, 500, (400, 2)), 1)
+    x[:60, 0], x[60], x[61] = 7.25, np.nan, np.inf
+    df = frame(spark, x)
+    d = pairs.block_distance("euclidean", x, x)
+    got = pairs.block_join(df, df, lambda ia, a, ib, b: {"i": np.repeat(ia, len(ib)), "j": np.tile(ib, len(ia))}, "i long, j long", 8, reach=5.0).collect()
+    assert len(set(got)) == len(got) < 0.2 * 160000 and {r.i for r in got} >= set(range(62, 400))
+    assert {(i.item(), j.item()) for i, j in zip(*np.nonzero(d <= 5.0), strict=True)} <= {(r.i, r.j) for r in got}
+    found = pairs.radius_join(df, df, 5.0).collect()
+    assert {(r.id_x, r.id_y) for r in found} == {(i.item(), j.item()) for i, j in zip(*np.nonzero(d <= 5.0), strict=True)}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "manhattan"])
+def test_dbscan_in_slabs(spark, metric, monkeypatch):
+    monkeypatch.setattr(pairs, "SLABS", 16)
+    x = np.round(RNG.uniform(0, 30000, (3000, 1)), 0)
+    got = DBSCAN(eps=9.0, min_samples=4, metric=metric).fit_predict(frame(spark, x)).orderBy("id").collect()
+    label, core = brute_dbscan(x, 3.0 if metric == "sqeuclidean" else 9.0, 4)
+    assert [r.is_core for r in got] == core.tolist() and [r.label for r in got] == label.tolist()
+
+
+def test_linked_rows(spark):
+    from lodestone.operators.cluster import linked
+
+    near = RNG.random((40, 50)) < 0.03
+    u, v = linked(near, np.arange(40), np.arange(100, 150))
+    i, j = np.nonzero(near)
+    root = local_roots(150, i, j + 100)
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {k: r for k, r in enumerate(root.tolist()) if k != r}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 45), (45, 41)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
