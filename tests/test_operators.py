@@ -688,6 +688,32 @@ def test_svc_meets_its_conditions():
     np.testing.assert_allclose(f[(a > 1e-6) & (a < 1 - 1e-6)], 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("model", [svm.SVC(tol=1e-5), svm.SVC(kernel="linear", tol=1e-5), svm.NuSVC(nu=0.4, tol=1e-5), svm.SVR(epsilon=0.05, tol=1e-5), svm.NuSVR(tol=1e-5)])
+def test_working_sets_reach_the_same_machine(model, monkeypatch):
+    x = RNG.normal(size=(300, 3))
+    y = x[:, 0] + 0.5 * RNG.normal(size=300)
+    y = np.where(y > 0, 1.0, -1.0) if model.CLASSIFY else y
+    model.gamma_ = 0.3
+    coef, bias, _ = model._solve(x, y)
+    monkeypatch.setattr(svm, "LIMIT", 100)
+    monkeypatch.setattr(svm.decomposed, "__defaults__", (False, 40))
+    found, other, steps = model._solve(x, y)
+    k = model._kernel(x, x)
+    assert steps and np.abs(k @ (found - coef) + other - bias).max() < 2e-3
+
+
+def test_no_limit_of_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(svm, "LIMIT", 20)
+    x, y = blobs(20, 3)
+    df = frame(spark, x, label=y)
+    for kernel in ("linear", "rbf"):
+        model = svm.SVC(kernel=kernel)
+        monkeypatch.setattr(model, "_smo", lambda *a, m=model, **b: svm.decomposed(a[0], m._kernel, np.arange(len(a[1])), *a[1:], m.tol, 0, **b))
+        assert model.fit(df).score(df) == 1.0
+    df = frame(spark, np.linspace(-2, 2, 40)[:, None], label=np.sin(np.linspace(-2, 2, 40)))
+    assert svm.SVR(C=10.0, epsilon=0.05).fit(df).score(df) > 0.97
+
+
 @pytest.mark.parametrize("model", [svm.SVR(C=10.0, epsilon=0.05), svm.NuSVR(C=10.0)])
 def test_svm_regression(spark, model):
     x = np.linspace(-2, 2, 40)[:, None]
