@@ -696,7 +696,7 @@ def test_working_sets_reach_the_same_machine(model, monkeypatch):
     model.gamma_ = 0.3
     coef, bias, _ = model._solve(x, y)
     monkeypatch.setattr(svm, "LIMIT", 100)
-    monkeypatch.setattr(svm.decomposed, "__defaults__", (False, 40))
+    monkeypatch.setattr(svm.decomposed, "__defaults__", (False, 40, False))
     found, other, steps = model._solve(x, y)
     k = model._kernel(x, x)
     assert steps and np.abs(k @ (found - coef) + other - bias).max() < 2e-3
