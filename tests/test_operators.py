@@ -603,6 +603,21 @@ def test_kernel_pca(spark):
     np.testing.assert_allclose(values(r.transform(df), "scores"), r.scores, atol=1e-8)
 
 
+@pytest.mark.parametrize("kernel", ["rbf", "linear", "poly"])
+def test_kernel_pca_without_the_kernel(spark, kernel, monkeypatch):
+    x = RNG.normal(size=(400, 6)) * np.array([3, 2.5, 2, 1, 1, 1])
+    df = frame(spark, x).repartition(3)
+    options = {"n_components": 3, "kernel": kernel, "gamma": 0.05, "degree": 2}
+    want = decomp.KernelPCA(**options).fit(df)
+    monkeypatch.setattr(decomp.KernelPCA, "LIMIT", 100)
+    got = decomp.KernelPCA(**options).fit(df)
+    np.testing.assert_allclose(got.eigenvalues, want.eigenvalues, rtol=1e-9)
+    np.testing.assert_allclose(got.scores, want.scores, atol=1e-5)
+    np.testing.assert_allclose(values(got.transform(df), "scores"), want.scores, atol=1e-5)
+    with pytest.raises(ValueError):
+        decomp.KernelPCA(kernel=kernel).fit(df)
+
+
 def test_tsne_separates(spark):
     x, y = blobs(20, 2)
     m = decomp.TSNE(perplexity=8.0, max_iter=400).fit(frame(spark, x))
