@@ -627,6 +627,19 @@ def test_tsne_separates(spark):
         decomp.TSNE(perplexity=50.0).fit(frame(spark, x))
 
 
+def test_tsne_of_listed_neighbours(spark, monkeypatch):
+    x, _ = blobs(40, 3)
+    df = frame(spark, x).repartition(3)
+    start = RNG.normal(size=(120, 2)) * 1e-2
+    want = decomp.TSNE(perplexity=8.0, max_iter=12, init="supplied").fit(df, start)
+    monkeypatch.setattr(decomp.TSNE, "LIMIT", 50)
+    got = decomp.TSNE(perplexity=8.0, max_iter=12, init="supplied").fit(df, start)
+    np.testing.assert_allclose(got.embedding, want.embedding, rtol=1e-6, atol=1e-9)
+    assert got.kl_divergence == pytest.approx(want.kl_divergence, abs=1e-6)
+    with pytest.raises(ValueError):
+        decomp.TSNE(perplexity=8.0, theta=0.0).fit(df)
+
+
 # trees and support vectors
 
 
