@@ -199,6 +199,55 @@ def test_a_join_sends_few_copies(spark):
     assert found.distinct().count() == found.count() == 1600
 
 
+@pytest.mark.parametrize("rows, block", [(40, 1), (40, 7), (3, 2), (1, 1), (0, 1)])
+def test_all_pairs_of_a_table_meet_once(spark, rows, block):
+    """Each two parts share a cell, and each pair is listed once in each order."""
+    x = RNG.normal(size=(rows, 2))
+    df = spark.createDataFrame([(5 * i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    parts = min(-(-rows // block), 8)
+    assert pairs._dealt_once(df, block).count() == rows * parts  # in two sides: rows * (16 + 4)
+    found = pairs.all_pairs(df, None, lambda ia, a, ib, b: a @ b.T, "v", block).collect()
+    got = {(r.id_x, r.id_y): r.v for r in found}
+    assert len(found) == len(got) == rows * rows
+    for (i, j), v in got.items():
+        assert v == pytest.approx(x[i // 5] @ x[j // 5])
+
+
+def test_all_pairs_in_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MOST_TASKS", 3)
+    x = RNG.normal(size=(30, 2))
+    found = pairs.all_pairs(frame(spark, x), None, lambda ia, a, ib, b: a @ b.T, "v", 2)
+    assert found.rdd.getNumPartitions() == 3
+    assert {(r.id_x, r.id_y): pytest.approx(r.v) for r in found.collect()} == {(i, j): x[i] @ x[j] for i in range(30) for j in range(30)}
+
+
+def test_ids_of_all_pairs_take_little_space(spark, tmp_path):
+    """A column file stores two ids in a bit and a half (in more than two bits, if y goes on for 2,048 rows)."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    n = 2048
+    df = spark.range(n).select("id", F.array(F.rand(1), F.rand(2)).alias("x"))
+    for made in (pairs.kernel_matrix(df, kernel="sigmoid", gamma=0.05, digits=5), pairs.pairwise_distances(df, digits=5)):
+        at = str(tmp_path / made.columns[2])
+        made.coalesce(1).write.parquet(at)
+        groups = [pq.ParquetFile(os.path.join(at, f)).metadata for f in os.listdir(at) if f.endswith(".parquet")]
+        columns = [m.row_group(g).column(c) for m in groups for g in range(m.num_row_groups) for c in (0, 1)]
+        assert sum(m.num_rows for m in groups) == n * n
+        assert sum(c.total_compressed_size for c in columns) < 0.18 * n * n
+
+
+def test_rounded_as_sql_does():
+    duckdb = pytest.importorskip("duckdb")
+    v = np.array([0.125, -0.125, 0.375, 2.5, -2.5, 0.5, -0.5, 0.49999999999999994, -0.001, 0.0, -0.0, 1e300, -1e300, 4503599627370497.5, 9007199254740993.0, *RNG.normal(size=200)])
+    for digits in (0, 2, 5):
+        want = np.array(duckdb.execute("SELECT round(v, ?) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS v)", [digits, v.tolist()]).fetchall())[:, 0]
+        got = pairs.rounded(v, digits)
+        kept = v != 0.49999999999999994
+        assert (got[kept] == want[kept]).all() and not np.signbit(got[got == 0]).any()
+    odd = pairs.rounded(np.array([np.nan, np.inf, -np.inf, 1.5e308]), 5)
+    assert np.isnan(odd[0]) and odd[1:].tolist() == [np.inf, -np.inf, 1.5e308]
+    assert pairs.rounded(v, None) is v
+
+
 @pytest.mark.parametrize("p", [0.5, 1.0, 2.0, 2.5, 3.0, 4.0])
 def test_minkowski_powers(p):
     a, b = RNG.normal(size=(70, 5)), RNG.normal(size=(9, 5))
