@@ -213,6 +213,27 @@ def test_all_pairs_of_a_table_meet_once(spark, rows, block):
         assert v == pytest.approx(x[i // 5] @ x[j // 5])
 
 
+@pytest.mark.parametrize("m, n", [(64, 128), (70, 200), (130, 9), (5, 3), (64, 10), (3, 64)])
+def test_tiles_list_each_pair(m, n):
+    a, b, v = np.arange(m), 1000 + np.arange(n), RNG.normal(size=(m, n))
+    one = {(i, 1000 + j): v[i, j] for i in range(m) for j in range(n)}
+    both = one | {(j, i): x for (i, j), x in one.items()}
+    w = v @ v.T + (v @ v.T).T
+    square = {(i, j): w[i, j] for i in range(m) for j in range(m)}
+    found = [(one, pairs._listed(a, b, v, "v")), (both, pairs._listed(a, b, v, "v", mirrored=True)), (square, pairs._listed(a, a, w, "v", same=True))]
+    for want, made in found:
+        got = list(zip(*(c.to_pylist() for c in made.columns), strict=True))
+        assert len(got) == len(want) and {(i, j): x for i, j, x in got} == want
+
+
+def test_pages_of_pairs_repeat_values():
+    """The writer keeps its dictionary if the first 20,000 values of a group have fewer than 15,600 different ones."""
+    a = RNG.normal(size=(512, 4))
+    for found in (pairs._listed(np.arange(512), np.arange(512), a @ RNG.normal(size=(512, 4)).T, "v", mirrored=True), pairs._listed(np.arange(512), np.arange(512), a @ a.T, "v", same=True)):
+        v = found.column(2).to_numpy()
+        assert max(len(np.unique(v[lo : lo + 20_000])) for lo in range(0, len(v) - 20_000, 500)) < 15_600
+
+
 def test_all_pairs_in_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(pairs, "MOST_TASKS", 3)
     x = RNG.normal(size=(30, 2))
