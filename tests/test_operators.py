@@ -256,6 +256,15 @@ def test_ids_of_all_pairs_take_little_space(spark, tmp_path):
         assert sum(c.total_compressed_size for c in columns) < 0.18 * n * n
 
 
+@pytest.mark.parametrize("name", ["kernel_rbf"])
+def test_query_of_all_pairs_sends_a_row_to_each_part_once(spark, name):
+    """500 vectors are one part: one task lists 250,000 pairs, after one shuffle of 500 rows and no broadcast of sizes."""
+    made = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "round(" not in plan
+    assert made.count() == 250_000
+
+
 def test_rounded_as_sql_does():
     duckdb = pytest.importorskip("duckdb")
     v = np.array([0.125, -0.125, 0.375, 2.5, -2.5, 0.5, -0.5, 0.49999999999999994, -0.001, 0.0, -0.0, 1e300, -1e300, 4503599627370497.5, 9007199254740993.0, *RNG.normal(size=200)])
