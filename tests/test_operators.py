@@ -256,7 +256,7 @@ def test_ids_of_all_pairs_take_little_space(spark, tmp_path):
         assert sum(c.total_compressed_size for c in columns) < 0.18 * n * n
 
 
-@pytest.mark.parametrize("name", ["kernel_rbf", "pairwise_euclidean_gemm"])
+@pytest.mark.parametrize("name", ["kernel_rbf", "pairwise_euclidean_gemm", "pairwise_euclidean"])
 def test_query_of_all_pairs_sends_a_row_to_each_part_once(spark, name):
     """500 vectors are one part: one task lists 250,000 pairs, after one shuffle of 500 rows and no broadcast of sizes."""
     made = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
