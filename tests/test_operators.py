@@ -256,6 +256,21 @@ def test_ids_of_all_pairs_take_little_space(spark, tmp_path):
         assert sum(c.total_compressed_size for c in columns) < 0.18 * n * n
 
 
+def stored_values(df, at):
+    """Rows of a result and the bytes that a column file needs for the value of each."""
+    pq = pytest.importorskip("pyarrow.parquet")
+    df.coalesce(1).write.parquet(at)
+    (found,) = [pq.ParquetFile(os.path.join(at, f)).metadata for f in os.listdir(at) if f.endswith(".parquet")]
+    return found.num_rows, sum(found.row_group(g).column(2).total_compressed_size for g in range(found.num_row_groups)) / found.num_rows
+
+
+def test_values_of_mirrored_pairs_are_stored_once(spark, tmp_path):
+    """Values of (b, a) repeat those of (a, b) in the same order (else each takes 1.6 bytes, the width of a dictionary's entry)."""
+    x = RNG.normal(size=(2048, 64))
+    rows, each = stored_values(pairs.kernel_matrix(frame(spark, x / np.linalg.norm(x, axis=1)[:, None]), gamma=0.05, digits=5), str(tmp_path / "rbf"))
+    assert rows == 2048 * 2048 and each < 1.2
+
+
 @pytest.mark.parametrize("name", ["kernel_rbf", "pairwise_euclidean_gemm", "pairwise_euclidean"])
 def test_query_of_all_pairs_sends_a_row_to_each_part_once(spark, name):
     """500 vectors are one part: one task lists 250,000 pairs, after one shuffle of 500 rows and no broadcast of sizes."""
