@@ -271,6 +271,20 @@ def test_values_of_mirrored_pairs_are_stored_once(spark, tmp_path):
     assert rows == 2048 * 2048 and each < 1.2
 
 
+@pytest.mark.parametrize("name", ["pairwise_euclidean_gemm", "kernel_rbf"])
+def test_query_of_all_pairs_sends_floats_as_they_are_stored(spark, name):
+    """Components are widened in the task that compares them, not before they are sent to each part."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "embedding" in plan and "array<double>" not in plan
+
+
+def test_floats_and_doubles_of_the_same_value_have_equal_distances(spark):
+    x = RNG.normal(size=(30, 5)).astype("float32")
+    df = frame(spark, x.astype(float))
+    wide = {(r.id_x, r.id_y): r.dist for r in pairs.pairwise_distances(df).collect()}
+    assert {(r.id_x, r.id_y): r.dist for r in pairs.pairwise_distances(df.withColumn("x", F.col("x").cast("array<float>"))).collect()} == wide
+
+
 @pytest.mark.parametrize("name", ["kernel_rbf", "pairwise_euclidean_gemm", "pairwise_euclidean"])
 def test_query_of_all_pairs_sends_a_row_to_each_part_once(spark, name):
     """500 vectors are one part: one task lists 250,000 pairs, after one shuffle of 500 rows and no broadcast of sizes."""
