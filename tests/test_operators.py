@@ -269,9 +269,11 @@ def test_values_of_mirrored_pairs_are_stored_once(spark, tmp_path):
     x = RNG.normal(size=(2048, 64))
     rows, each = stored_values(pairs.kernel_matrix(frame(spark, x / np.linalg.norm(x, axis=1)[:, None]), gamma=0.05, digits=5), str(tmp_path / "rbf"))
     assert rows == 2048 * 2048 and each < 1.2
+    rows, each = stored_values(pairs.pairwise_distances(frame(spark, x / np.linalg.norm(x, axis=1)[:, None]), digits=5), str(tmp_path / "euclidean"))
+    assert rows == 2048 * 2048 and each < 1.4
 
 
-@pytest.mark.parametrize("name", ["pairwise_euclidean_gemm", "kernel_rbf"])
+@pytest.mark.parametrize("name", ["pairwise_euclidean_gemm", "kernel_rbf", "pairwise_euclidean"])
 def test_query_of_all_pairs_sends_floats_as_they_are_stored(spark, name):
     """Components are widened in the task that compares them, not before they are sent to each part."""
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
